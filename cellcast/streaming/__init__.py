@@ -1,0 +1,5 @@
+"""No streaming operator is in scope: the reference workload is batch only.
+
+Incremental batch work is ``cellcast.sources.sinks.write_grid`` with partitions, which redoes one
+period without touching the others.
+"""
