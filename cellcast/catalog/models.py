@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -197,8 +198,8 @@ def _(t):
     rows = monthly_features(t)
     fits = models.fit_seasonal_poisson(rows.filter("year <= 1999"), ["monthly_index", "driver"],
                                        "actual_count", folds=2, points=2)
-    return models.predict_seasonal(rows, fits, ["monthly_index", "driver"]).select(
-        "year", "month", r6("pred_count"))
+    return models.predict_seasonal(rows, fits, ["monthly_index", "driver"], "pred").select(
+        "year", "month", r6("pred"))
 
 
 @query("ml_vector_assemble")
@@ -208,22 +209,23 @@ def _(t):
         *KEY, models.vector_to_array("features").alias("features"))
 
 
-def linear_scorer():
-    """Loaded once per task: the fixed linear scorer as a batch function."""
-    import numpy as np
+def linear_scorer(coef: dict[str, float], intercept: float, keys: list[str]):
+    """Loader of a linear scorer; a closure, so executors need not have this package installed."""
+    def load():
+        names, weights = list(coef), np.array(list(coef.values()))
 
-    names = list(COEFFICIENTS)
-    weights = np.array([COEFFICIENTS[n] for n in names])
+        def scorer(batch: pd.DataFrame) -> pd.DataFrame:
+            eta = batch[names].fillna(0.0).to_numpy() @ weights + intercept
+            return batch[keys].assign(prob=np.round(1.0 / (1.0 + np.exp(-eta)), 6))
 
-    def scorer(batch: pd.DataFrame) -> pd.DataFrame:
-        eta = batch[names].fillna(0.0).to_numpy() @ weights + INTERCEPT
-        return batch[KEY].assign(prob=np.round(1.0 / (1.0 + np.exp(-eta)), 6))
+        return scorer
 
-    return scorer
+    return load
 
 
 @query("udf_batch_scorer", views="labelled", oracle=f"""
 SELECT l_orderkey, l_linenumber, ROUND({_LOGISTIC}, 6) AS prob FROM labelled""")
 def _(t):
-    return score_batches(t.labelled.select(*KEY, *COEFFICIENTS), linear_scorer,
+    return score_batches(t.labelled.select(*KEY, *COEFFICIENTS),
+                         linear_scorer(COEFFICIENTS, INTERCEPT, KEY),
                          "l_orderkey bigint, l_linenumber int, prob double")

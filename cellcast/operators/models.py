@@ -129,9 +129,9 @@ def fit_tweedie(df: DataFrame, features: Sequence[str], y: str, power: float = T
 
 def predict_counts(df: DataFrame, model, features: Sequence[str],
                    out: str = "pred_count") -> DataFrame:
-    """Predicted counts, clamped; the row's own columns are kept."""
+    """Predicted counts, clamped; the row's other columns are kept."""
     scored = model.transform(assemble(df, features))
-    return scored.select(*df.columns, clamp("prediction").alias(out))
+    return scored.select(*[c for c in df.columns if c != out], clamp("prediction").alias(out))
 
 
 def penalty_grid(points: int = PENALTY_POINTS) -> list[float]:

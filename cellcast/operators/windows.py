@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellcast.shared import checkpointed
+
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
 
 # Trailing window lengths in days, the measures averaged over each, output names.
@@ -122,16 +125,17 @@ def running_totals(scores: DataFrame, cols: Sequence[str], keys: Sequence[str] =
                    blocks: int = 256) -> DataFrame:
     """Inclusive running sums of ``cols`` along ``order`` as ``cum_<col>``, split over tasks.
 
-    Approximate quantiles of ``order`` (a bounded sketch) cut the rows into about equal blocks. The
-    sums run within a block and are shifted by the totals of the blocks before it: exact, whatever
-    the cuts.
+    Approximate quantiles of ``order`` (a mergeable sketch; ``blocks - 1`` numbers reach the driver)
+    cut the rows into about equal blocks. The sums run within a block and are shifted by the totals
+    of the blocks before it: exact, whatever the cuts. ``scores`` is read three times, so it is
+    checkpointed first.
     """
-    keys = list(keys)
-    cuts = scores.agg(F.percentile_approx(
-        order, [i / blocks for i in range(1, blocks)], 20 * blocks).alias("cuts"))
-    at = F.size(F.filter(F.coalesce(cuts.scalar(), F.array().cast("array<double>")),
-                         lambda c: c < F.col(order)))
-    blocked = scores.withColumn("_block", -at if descending else at)
+    keys, scores = list(keys), checkpointed(scores)
+    cut = QuantileDiscretizer(numBuckets=blocks, inputCol=order, outputCol="_block",
+                              relativeError=1.0 / (4 * blocks)).fit(scores)
+    blocked = cut.transform(scores)
+    if descending:
+        blocked = blocked.withColumn("_block", -F.col("_block"))
     along = F.col(order).desc() if descending else F.col(order).asc()
     within = Window.partitionBy(*keys, "_block").orderBy(along).rowsBetween(FIRST, HERE)
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(FIRST, -1)
