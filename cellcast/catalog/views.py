@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "obs_raw": """
 SELECT l_orderkey, l_linenumber, l_suppkey AS cell_id,
- CAST((l_suppkey % 121) * 0.25 AS DOUBLE) AS lat,
- CAST(100 + FLOOR(l_suppkey / 121.0) * 0.25 AS DOUBLE) AS lon,
+ CAST(l_suppkey % 121 AS DOUBLE) / 4 AS lat,
+ 100 + CAST(FLOOR(CAST(l_suppkey AS DOUBLE) / 121) AS DOUBLE) / 4 AS lon,
  CAST(l_shipdate AS DATE) AS date,
  CAST(l_discount * 100 - 5 AS DOUBLE) AS u_wind, CAST(l_tax * 100 - 4 AS DOUBLE) AS v_wind,
  l_extendedprice AS slp,
@@ -37,9 +37,9 @@ FROM (SELECT DISTINCT CAST(YEAR(l_shipdate) AS INT) AS y, CAST(MONTH(l_shipdate)
     "scores": """
 SELECT l_orderkey, l_linenumber,
  CAST(YEAR(l_shipdate) AS INT) AS year, CAST(MONTH(l_shipdate) AS INT) AS month,
- CAST((l_suppkey % 121) * 0.25 AS DOUBLE) AS lat,
- CAST(100 + FLOOR(l_suppkey / 121.0) * 0.25 AS DOUBLE) AS lon,
- CAST(((l_orderkey * 31 + l_linenumber * 17) % 1000) / 1000.0 AS DOUBLE) AS prob,
+ CAST(l_suppkey % 121 AS DOUBLE) / 4 AS lat,
+ 100 + CAST(FLOOR(CAST(l_suppkey AS DOUBLE) / 121) AS DOUBLE) / 4 AS lon,
+ CAST((l_orderkey * 31 + l_linenumber * 17) % 1000 AS DOUBLE) / 1000 AS prob,
  CASE WHEN l_returnflag = 'R' AND l_quantity >= 45 THEN 1 ELSE 0 END AS label
 FROM lineitem""",
     "geo_tracks": """
@@ -75,7 +75,7 @@ FROM monthly""",
     # measures and the rare label of each row
     "labelled": """
 SELECT l_orderkey, l_linenumber, CAST(YEAR(l_shipdate) AS INT) AS year,
- CAST(MONTH(l_shipdate) AS INT) AS month, CAST((l_suppkey % 121) * 0.25 AS DOUBLE) AS lat,
+ CAST(MONTH(l_shipdate) AS INT) AS month, CAST(l_suppkey % 121 AS DOUBLE) / 4 AS lat,
  l_discount * 100 - 5 AS u_wind, l_extendedprice AS slp,
  CASE WHEN l_linenumber = 7 THEN NULL ELSE l_quantity END AS sst,
  CASE WHEN l_returnflag = 'R' AND l_quantity >= 45 THEN 1 ELSE 0 END AS label

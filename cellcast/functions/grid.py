@@ -19,13 +19,16 @@ def snap(c: Column | str, per_unit: float = 4.0, mode: str = "half_up") -> Colum
     on every second cell centre, so sources that are joined must use the same mode.
     """
     scaled = _col(c).cast("double") * F.lit(float(per_unit))
+    # rint is a plain floating-point instruction and rounds ties to even; round() goes by way of
+    # decimals for every row. A tie leaves exactly 0.5 between the two.
+    nearest = F.rint(scaled)
     if mode == "half_up":
-        nearest = F.round(scaled)
-    elif mode == "even":
-        nearest = F.bround(scaled)
-    else:
+        left = scaled - nearest
+        nearest = nearest + F.when((left == 0.5) & (scaled > 0), F.lit(1.0)).when(
+            (left == -0.5) & (scaled < 0), F.lit(-1.0)).otherwise(F.lit(0.0))
+    elif mode != "even":
         raise ValueError(f"unknown snap mode {mode!r}")
-    return nearest / F.lit(float(per_unit))
+    return (nearest + 0.0) / F.lit(float(per_unit))
 
 
 def in_box(df: DataFrame, lat: Box | None = (0.0, 30.0), lon: Box | None = None,

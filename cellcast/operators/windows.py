@@ -12,10 +12,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from cellcast.shared import checkpointed
 
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
+_MAX_PARTS = 4
 
 # Trailing window lengths in days, the measures averaged over each, output names.
 TRAILING = {
@@ -60,12 +62,11 @@ def trailing_means(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     keys, order = list(keys), list(order)
     if frame == "days":
         plain = Window.partitionBy(*keys).orderBy(F.unix_date(order[0]))
-        return df.select("*", *_means(spec, lambda n: plain.rangeBetween(-(n - 1), HERE)))
+        return df.select("*", *_day_means(spec, plain))
     if frame != "rows":
         raise ValueError(f"unknown frame {frame!r}")
     if chunk_rows is None:
-        plain = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *_means(spec, lambda n: plain.rowsBetween(-(n - 1), HERE)))
+        return _row_means(df, spec, Window.partitionBy(*keys).orderBy(*order))
     reach = max(spec) - 1
     if chunk_rows < reach:
         raise ValueError(f"chunk_rows must be at least {reach}")
@@ -75,16 +76,48 @@ def trailing_means(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     pieces = numbered(df, keys, order, order[0], "_row").withColumn(
         "_chunk", F.explode(F.when(carried, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))))
     piece = Window.partitionBy(*keys, "_chunk").orderBy("_row")
-    means = pieces.select("*", *_means(spec, lambda n: piece.rowsBetween(-(n - 1), HERE)))
+    means = _row_means(pieces, spec, piece)
     outs = [out for measures in spec.values() for out in measures.values()]
     return means.filter(F.col("_chunk") == chunk).select(*df.columns, *outs)
 
 
-def _means(spec: Mapping[int, Mapping[str, str]], window) -> list[Column]:
-    return [F.avg(src).over(window(n)).alias(out)
+def _day_means(spec: Mapping[int, Mapping[str, str]], window: WindowSpec) -> list[Column]:
+    return [F.avg(src).over(window.rangeBetween(-(n - 1), HERE)).alias(out)
             for n, measures in spec.items() for src, out in measures.items()]
 
 
+def _row_means(df: DataFrame, spec: Mapping[int, Mapping[str, str]],
+               window: WindowSpec) -> DataFrame:
+    """``df`` with the trailing means of ``spec`` over a row window.
+
+    A frame of n rows costs n steps per row, so long frames are put together from the sums of
+    shorter ones where the lengths divide (180 = 90 + 90, 90 = 30 + 30 + 30). Sums are only ever
+    added, never subtracted, so nothing is lost to cancellation.
+    """
+    parts: dict[tuple[int, str], int] = {}
+    for n in sorted(spec):
+        for src in spec[n]:
+            shorter = [m for m, s in parts if s == src and n % m == 0 and n // m <= _MAX_PARTS]
+            parts[n, src] = max(shorter, default=n)
+    direct = [(n, src) for (n, src), m in parts.items() if m == n]
+    columns = df.columns
+    df = df.withColumns({
+        f"_{kind}{n}_{src}": fold(src).over(window.rowsBetween(-(n - 1), HERE))
+        for n, src in direct for kind, fold in (("sum", F.sum), ("count", F.count))})
+    df = df.withColumns({f"_sum{n}_{src}": F.coalesce(f"_sum{n}_{src}", F.lit(0.0))
+                         for n, src in direct})
+    for n in sorted({n for (n, _), m in parts.items() if m != n}):
+        df = df.withColumns({
+            f"_{kind}{n}_{src}": sum(
+                (F.lag(f"_{kind}{m}_{src}", k * m, zero).over(window) for k in range(1, n // m)),
+                F.col(f"_{kind}{m}_{src}"))
+            for (length, src), m in parts.items() if length == n and m != n
+            for kind, zero in (("sum", 0.0), ("count", 0))})
+    return df.select(*columns, *[
+        (F.col(f"_sum{n}_{src}") / F.nullif(F.col(f"_count{n}_{src}"), F.lit(0))).alias(out)
+        for n, measures in spec.items() for src, out in measures.items()])
+
+
 def trailing_in_group(df: DataFrame, cols: Sequence[str], n: int = 3,
                       group: Sequence[str] = ("year",), order: Sequence[str] = ("month",),
                       suffix: str = "_3m_avg") -> DataFrame:
