@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cellcast.functions.cleaning import sanitise
 from cellcast.functions.features import cyclical, log_index, one_hot, phase_interactions
 from cellcast.operators.aggregates import monthly_index
-from cellcast.operators.joins import calendar_lag
+from cellcast.operators.joins import attach_transition, calendar_lag, join_actuals
 from cellcast.operators.linear import score_logistic
 from cellcast.operators.windows import diff_in_group, momentum, trailing_in_group, ytd_before
 
@@ -22,6 +22,22 @@ def cell_scores_to_months(features: DataFrame, coef: Mapping[str, float], interc
     return monthly_index(score_logistic(filled, dict(coef), intercept), driver=driver)
 
 
+def probability_months(scored: DataFrame, transition: DataFrame, actuals: DataFrame,
+                       driver: str | None = None) -> DataFrame:
+    """Calibrated cell scores to months: total and per-outcome indices with the actual counts.
+
+    ``transition`` holds ``prob_<outcome>`` per cell. One broadcast lookup and one aggregate over the
+    scores; everything after it has one row per month.
+    """
+    weights = [c for c in transition.columns if c.startswith("prob_")]
+    rows = attach_transition(scored.select("year", "month", "lat", "lon", F.col("prob").alias("p"), *(
+        [driver] if driver else [])), transition)
+    months = monthly_index(rows, "p", weights, driver)
+    if driver:
+        months = months.withColumn("driver", F.coalesce("driver", F.lit(0.0)))
+    return join_actuals(months, actuals)
+
+
 def monthly_features(months: DataFrame, legacy: bool = False) -> tuple[DataFrame, list[str]]:
     """Lags, trailing means, phase interactions and season encoding; frame and feature names.
 
@@ -60,8 +76,3 @@ def count_features(target: str) -> tuple[list[str], list[str]]:
     if target == "count":
         return ["monthly_index_log", *shared], season
     return [f"index_{target}_log", *shared], [*season, f"index_{target}", "index_x_driver"]
-
-
-def lines_for(targets: Sequence[str], columns: Sequence[str]) -> list[str]:
-    """Targets that have an actual column."""
-    return [t for t in targets if f"actual_{t}" in columns]
