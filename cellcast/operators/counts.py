@@ -133,7 +133,7 @@ def fit_zero_inflated(df: DataFrame, count_features: Sequence[str],
     """
     count_features, inflation_features = list(count_features), list(inflation_features)
     used = list(dict.fromkeys(count_features + inflation_features))
-    rows = checkpointed(df.select(*used, F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("y")))
+    rows = df.select(*used, F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("y"))
     moments = rows.agg(
         F.avg("y").alias("my"), F.avg((F.col("y") == 0).cast("double")).alias("zeros"),
         *[F.avg(F.coalesce(finite(c), F.lit(0.0))).alias(f"m_{c}") for c in used],

@@ -8,8 +8,10 @@ scored pieces. The loops are over fold years and targets, both bounded.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,14 +51,14 @@ class TargetModel:
     """Two base models and their stack weights (none when there was no fold to fit them on)."""
 
     counts: CountModel
-    trees: LogLinear
+    tweedie: LogLinear
     weights: tuple[float, float, float] | None
 
     def predict(self) -> Column:
         if self.weights is None:
-            return F.greatest(self.trees.predict(), F.lit(0.0))
+            return F.greatest(self.tweedie.predict(), F.lit(0.0))
         w1, w2, b = self.weights
-        return F.greatest(self.counts.predict() * w1 + self.trees.predict() * w2 + b, F.lit(0.0))
+        return F.greatest(self.counts.predict() * w1 + self.tweedie.predict() * w2 + b, F.lit(0.0))
 
 
 @dataclass
@@ -81,34 +83,42 @@ def fit_target(rows: DataFrame, target: str, features: Sequence[str], start: int
     """Bases on expanding years for the stack, then on all years up to ``end``."""
     years = sorted(r[0] for r in rows.filter(F.col("year") <= end).select("year").distinct().collect())
     folds = [y for y in years if y > start and y > years[0]]
-    first = second = None
+    first = second = F  # F.when starts a chain, Column.when continues it
     for fold in folds:
-        counts, trees = _fit_bases(rows.filter(F.col("year") < fold), target, features, rounds)
+        counts, tweedie = _fit_bases(rows.filter(F.col("year") < fold), target, features, rounds)
         here = F.col("year") == fold
-        first = (first or F).when(here, counts.predict())
-        second = (second or F).when(here, trees.predict())
+        first = first.when(here, counts.predict())
+        second = second.when(here, tweedie.predict())
     weights = None
     if folds:
         oof = rows.filter(F.col("year").isin(*folds)).select(
             first.alias("x1"), second.alias("x2"), F.col(f"actual_{target}").cast("double").alias("y"))
         w = fit_stack(oof, "x1", "x2", "y").first()
         weights = None if w is None else (w["w1"], w["w2"], w["intercept"])
-    counts, trees = _fit_bases(rows.filter(F.col("year") <= end), target, features, rounds)
-    return TargetModel(counts, trees, weights)
+    counts, tweedie = _fit_bases(rows.filter(F.col("year") <= end), target, features, rounds)
+    return TargetModel(counts, tweedie, weights)
 
 
 def forecast(months: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS,
-             start: int = FOLD_YEARS[0], end: int = FOLD_YEARS[1], rounds: int = 20) -> Forecast:
-    """A model per target that has a column; a target that fails is recorded and skipped."""
+             start: int = FOLD_YEARS[0], end: int = FOLD_YEARS[1], rounds: int = 20,
+             parallelism: int = 4) -> Forecast:
+    """A model per target that has a column; a target that fails is recorded and skipped.
+
+    ``parallelism`` is the number of targets whose Spark jobs are submitted at the same time.
+    """
     rows = checkpointed(months)
     out = Forecast(rows)
-    for target in targets:
-        if f"actual_{target}" not in rows.columns:
-            continue
+
+    @inheritable_thread_target(rows.sparkSession)
+    def fit(target: str) -> None:
         try:
             out.models[target] = fit_target(rows, target, features, start, end, rounds)
         except (PySparkException, ArithmeticError, ValueError) as problem:
             out.failed[target] = f"{type(problem).__name__}: {problem}"
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(fit, [t for t in targets if f"actual_{t}" in rows.columns]))
+    out.models = {t: out.models[t] for t in targets if t in out.models}
     out.months = rows.withColumns({f"pred_{t}": m.predict() for t, m in out.models.items()})
     return out
 
