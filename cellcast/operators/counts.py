@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.ml.classification import LogisticRegression
@@ -24,6 +23,10 @@ from cellcast.shared import checkpointed
 
 _ETA = 30.0
 _TINY = 1e-9
+# Inner fits only have to improve on the last round.
+_TOL = 1e-4
+# Rows per task of the fitted frame: a monthly table is read in one task, a large one in many.
+_ROWS_PER_TASK = 100_000
 
 
 @dataclass
@@ -40,22 +43,21 @@ class CountModel:
     alpha: float = 0.0
     log_likelihoods: list[float] = field(default_factory=list)
 
-    def _eta(self, features: Sequence[str], coef: Sequence[float]) -> Column:
-        terms = [F.lit(float(coef[0]))] + [
-            (F.coalesce(finite(c), F.lit(0.0)) - self.centre[c]) / self.scale[c] * float(b)
+    def _eta(self, features: Sequence[str], coef: Sequence[float]) -> str:
+        terms = [_num(coef[0])] + [
+            f"({_clean(c)} - {_num(self.centre[c])}) / {_num(self.scale[c])} * {_num(b)}"
             for c, b in zip(features, coef[1:])]
-        eta = reduce(lambda a, b: a + b, terms)
-        return F.greatest(F.lit(-_ETA), F.least(F.lit(_ETA), eta))
+        return f"greatest({_num(-_ETA)}, least({_num(_ETA)}, {' + '.join(terms)}))"
 
     def mean(self) -> Column:
         """Expected count given that the row is not a structural zero."""
-        return F.exp(self._eta(self.count_features, self.beta))
+        return F.expr(f"exp({self._eta(self.count_features, self.beta)})")
 
     def structural(self) -> Column:
         """Probability of a structural zero."""
         if self.kind != "zero_inflated":
             return F.lit(0.0)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-self._eta(self.inflation_features, self.gamma)))
+        return F.expr(f"1D / (1D + exp(-{self._eta(self.inflation_features, self.gamma)}))")
 
     def predict(self) -> Column:
         """Expected count, clamped."""
@@ -64,27 +66,39 @@ class CountModel:
         return clamp(self.mean() * (F.lit(1.0) - self.structural()))
 
 
-def _log_count(y: Column, mu: Column, alpha: float) -> Column:
-    """Log probability of ``y`` under NB2 (Poisson when the dispersion vanishes)."""
+# The likelihood is built as SQL text: a round needs it with new numbers, and one parsed expression is
+# far cheaper to make than a few hundred Column calls.
+
+def _num(value: float) -> str:
+    return f"({float(value)!r}D)"
+
+
+def _clean(name: str) -> str:
+    c = f"CAST(`{name}` AS DOUBLE)"
+    return f"coalesce(CASE WHEN NOT isnan({c}) AND abs({c}) <> double('Infinity') THEN {c} END, 0D)"
+
+
+def _log_count(alpha: float) -> str:
+    """Log probability of ``y`` with mean ``_mu`` under NB2 (Poisson when the dispersion vanishes)."""
     if alpha < _TINY:
-        return y * F.log(mu) - mu - _log_gamma(y + 1)
+        return f"y * ln(_mu) - _mu - {log_gamma('(y + 1D)')}"
     r = 1.0 / alpha
-    return (_log_gamma(y + r) - math.lgamma(r) - _log_gamma(y + 1)
-            + r * F.log(F.lit(r) / (mu + r)) + y * F.log(mu / (mu + r)))
+    return (f"{log_gamma(f'(y + {_num(r)})')} - {_num(math.lgamma(r))} - {log_gamma('(y + 1D)')} + "
+            f"{_num(r)} * ln({_num(r)} / (_mu + {_num(r)})) + y * ln(_mu / (_mu + {_num(r)}))")
 
 
-def _log_gamma(x: Column) -> Column:
-    """Stirling series after shifting the argument by 8; error below 1e-10 for x > 0."""
-    shift = 8
-    product = reduce(lambda a, b: a * b, [x + i for i in range(shift)])
-    z = x + shift
-    series = 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(product)
+def log_gamma(x: str) -> str:
+    """Stirling series after shifting the argument by 8; error below 1e-9 for x > 0."""
+    z = f"({x} + 8D)"
+    product = " * ".join(f"({x} + {i}D)" for i in range(8))
+    return (f"(({z} - 0.5D) * ln({z}) - {z} + {_num(0.5 * math.log(2 * math.pi))} + 1D / (12D * {z})"
+            f" - 1D / (360D * {z} * {z} * {z}) + 1D / (1260D * {z} * {z} * {z} * {z} * {z})"
+            f" - ln({product}))")
 
 
 def _vector(df: DataFrame, cols: Sequence[str], model: CountModel, out: str) -> DataFrame:
     scaled = [f"_{out}_{i}" for i in range(len(cols))]
-    values = {s: (F.coalesce(finite(c), F.lit(0.0)) - model.centre[c]) / model.scale[c]
+    values = {s: F.expr(f"({_clean(c)} - {_num(model.centre[c])}) / {_num(model.scale[c])}")
               for s, c in zip(scaled, cols)}
     return VectorAssembler(inputCols=scaled, outputCol=out).transform(
         df.withColumns(values)).drop(*scaled)
@@ -93,7 +107,7 @@ def _vector(df: DataFrame, cols: Sequence[str], model: CountModel, out: str) ->
 def _poisson(df: DataFrame, weight: Column, reg: float) -> list[float]:
     fit = GeneralizedLinearRegression(
         family="poisson", link="log", featuresCol="xc", labelCol="y", weightCol="w",
-        regParam=reg, maxIter=25).fit(df.withColumn("w", weight).filter("w > 1e-12"))
+        regParam=reg, maxIter=25, tol=_TOL).fit(df.withColumn("w", weight).filter("w > 1e-12"))
     coef = [fit.intercept, *fit.coefficients.toArray()]
     if not all(map(math.isfinite, coef)):
         raise ArithmeticError("count fit is not finite")
@@ -106,21 +120,22 @@ def _logistic(df: DataFrame, z: Column, reg: float) -> list[float]:
         F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - z).alias("w"))))).select(
         "xi", "c.label", "c.w").filter("w > 1e-12")
     fit = LogisticRegression(featuresCol="xi", labelCol="label", weightCol="w", regParam=reg,
-                             maxIter=25).fit(copies)
+                             maxIter=25, tol=_TOL).fit(copies)
     coef = [fit.intercept, *fit.coefficients.toArray()]
     if not all(map(math.isfinite, coef)):
         raise ArithmeticError("inflation fit is not finite")
     return [float(c) for c in coef]
 
 
-def _e_step(m: CountModel) -> tuple[Column, Column]:
-    """Posterior of a structural zero, and the row's log-likelihood."""
-    y, mu, pi = F.col("y"), m.mean(), m.structural()
-    log_f = _log_count(y, mu, m.alpha)
-    zero = pi + (F.lit(1.0) - pi) * F.exp(log_f)
-    z = F.when(y == 0, pi / zero).otherwise(F.lit(0.0))
-    ll = F.when(y == 0, F.log(zero)).otherwise(F.log(F.lit(1.0) - pi) + log_f)
-    return z, ll
+def _e_step(data: DataFrame, m: CountModel) -> DataFrame:
+    """``data`` with the mean, the posterior of a structural zero and the row's log-likelihood."""
+    none = "-_mu" if m.alpha < _TINY else f"ln(1D + _mu * {_num(m.alpha)}) * {_num(-1.0 / m.alpha)}"
+    return (data.withColumns({"_mu": m.mean(), "_pi": m.structural()})
+            .withColumn("_zero", F.expr(f"_pi + (1D - _pi) * exp({none})"))
+            .withColumns({
+                "_z": F.expr("CASE WHEN y = 0 THEN _pi / _zero ELSE 0D END"),
+                "_ll": F.expr("CASE WHEN y = 0 THEN ln(_zero) "
+                              f"ELSE ln(1D - _pi) + {_log_count(m.alpha)} END")}))
 
 
 def fit_zero_inflated(df: DataFrame, count_features: Sequence[str],
@@ -135,7 +150,7 @@ def fit_zero_inflated(df: DataFrame, count_features: Sequence[str],
     used = list(dict.fromkeys(count_features + inflation_features))
     rows = df.select(*used, F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("y"))
     moments = rows.agg(
-        F.avg("y").alias("my"), F.avg((F.col("y") == 0).cast("double")).alias("zeros"),
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg((F.col("y") == 0).cast("double")).alias("zeros"),
         *[F.avg(F.coalesce(finite(c), F.lit(0.0))).alias(f"m_{c}") for c in used],
         *[F.stddev_pop(F.coalesce(finite(c), F.lit(0.0))).alias(f"s_{c}") for c in used]).first()
     model = CountModel("zeros", count_features, inflation_features,
@@ -143,8 +158,9 @@ def fit_zero_inflated(df: DataFrame, count_features: Sequence[str],
                        {c: moments[f"s_{c}"] or 1.0 for c in used})
     if not moments["my"]:
         return model
+    tasks = math.ceil(moments["n"] / _ROWS_PER_TASK)
     data = checkpointed(_vector(_vector(rows, count_features, model, "xc"),
-                                inflation_features, model, "xi"))
+                                inflation_features, model, "xi").coalesce(tasks))
     try:
         plain = _updated(model, kind="count", beta=_poisson(data, F.lit(1.0), reg))
     except (PySparkException, ArithmeticError):
@@ -167,14 +183,11 @@ def _expectation_maximisation(data: DataFrame, plain: CountModel, zeros: float,
                     gamma=[start] + [0.0] * len(plain.inflation_features))
     best.log_likelihoods = [_likelihood(data, best)]
     for _ in range(rounds):
-        z, _ll = _e_step(best)
-        own = F.lit(1.0) - z
-        mu = best.mean()
-        gamma = _logistic(data, z, reg)
-        beta = _poisson(data, own / (F.lit(1.0) + mu * best.alpha), reg)
-        spread = data.agg(
-            F.sum(own * ((F.col("y") - mu) ** 2 - mu)).alias("num"),
-            F.sum(own * mu * mu).alias("den")).first()
+        rows = _e_step(data, best)
+        gamma = _logistic(rows, F.col("_z"), reg)
+        beta = _poisson(rows, F.expr(f"(1D - _z) / (1D + _mu * {_num(best.alpha)})"), reg)
+        spread = rows.agg(F.expr("sum((1D - _z) * ((y - _mu) * (y - _mu) - _mu))").alias("num"),
+                          F.expr("sum((1D - _z) * _mu * _mu)").alias("den")).first()
         alpha = max(0.0, spread["num"] / spread["den"]) if spread["den"] else 0.0
         candidate = _updated(best, beta=beta, gamma=gamma, alpha=alpha)
         reached = _likelihood(data, candidate)
@@ -189,7 +202,7 @@ def _expectation_maximisation(data: DataFrame, plain: CountModel, zeros: float,
 
 
 def _likelihood(data: DataFrame, m: CountModel) -> float:
-    return float(data.agg(F.sum(_e_step(m)[1])).first()[0])
+    return float(_e_step(data, m).agg(F.sum("_ll")).first()[0])
 
 
 def predict_zero_inflated(df: DataFrame, model: CountModel, out: str = "pred") -> DataFrame:
