@@ -10,6 +10,7 @@ from cellcast.functions.grid import snap
 from cellcast.operators import geo
 from cellcast.operators.aggregates import (MATRIX_OUTCOMES, cell_visits, outcome_counts,
                                            outcome_crosstab, outcome_prior, smooth_transition)
+from cellcast.shared import checkpointed
 
 # Brute force in SQL: every point against every edge.
 PAIRS = """pairs AS (
@@ -91,7 +92,7 @@ SELECT lat_grid, lon_grid, """ + ", ".join(
     f"/ (COUNT(*) + 5), 6) AS \"prob_{o}\"" for o in MATRIX_OUTCOMES) + """
 FROM visits, total GROUP BY 1, 2""")
 def _(t):
-    visits = visits_of(t)
+    visits = checkpointed(visits_of(t))
     smooth = smooth_transition(outcome_crosstab(visits), outcome_prior(visits))
     return smooth.select("lat_grid", "lon_grid", *[
         r6(c) for c in smooth.columns if c.startswith("prob_")])

@@ -122,8 +122,8 @@ def _(t):
 SELECT SID, event_id, CAST(ROW_NUMBER() OVER (PARTITION BY SID ORDER BY ts, event_id) AS INTEGER)
  AS point_no FROM geo_tracks""")
 def _(t):
-    return ordering.order_track(t.geo_tracks, order=["ts", "event_id"]).select(
-        "SID", "event_id", "point_no")
+    return ordering.order_track(t.geo_tracks, order=["ts", "event_id"], block=F.to_date("ts")).select(
+        "SID", "event_id", F.col("point_no").cast("int").alias("point_no"))
 
 
 @query("sort_track_blocked", views="tracks", oracle="""

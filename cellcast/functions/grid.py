@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,30 +21,44 @@ def snap(c: Column | str, per_unit: float = 4.0, mode: str = "half_up") -> Colum
     on every second cell centre, so sources that are joined must use the same mode.
     """
     scaled = _col(c).cast("double") * F.lit(float(per_unit))
-    # rint is a plain floating-point instruction and rounds ties to even; round() goes by way of
-    # decimals for every row. A tie leaves exactly 0.5 between the two.
-    nearest = F.rint(scaled)
     if mode == "half_up":
-        left = scaled - nearest
-        nearest = nearest + F.when((left == 0.5) & (scaled > 0), F.lit(1.0)).when(
-            (left == -0.5) & (scaled < 0), F.lit(-1.0)).otherwise(F.lit(0.0))
-    elif mode != "even":
+        nearest = F.round(scaled)
+    elif mode == "even":
+        nearest = F.rint(scaled)
+    else:
         raise ValueError(f"unknown snap mode {mode!r}")
     return (nearest + 0.0) / F.lit(float(per_unit))
 
 
 def in_box(df: DataFrame, lat: Box | None = (0.0, 30.0), lon: Box | None = None,
-           lat_col: str = "lat", lon_col: str = "lon", margin: float = 0.0) -> DataFrame:
+           lat_col: str = "lat", lon_col: str = "lon") -> DataFrame:
     """Rows inside an inclusive box; rows with a null coordinate are dropped.
 
-    With ``lon=None`` only the latitude is bounded (longitude must still be present). ``margin``
-    widens the box, for a filter on raw coordinates that must not lose rows a later snap keeps;
-    plain column comparisons like these reach the Parquet scan.
+    With ``lon=None`` only the latitude is bounded (longitude must still be present). Plain column
+    comparisons like these reach the Parquet scan.
+    """
+    kept = df.filter(F.col(lat_col).isNotNull() & F.col(lon_col).isNotNull())
+    for name, bounds in ((lat_col, lat), (lon_col, lon)):
+        if bounds is not None:
+            kept = kept.filter(F.col(name).between(*bounds))
+    return kept
+
+
+def in_snapped_box(df: DataFrame, lat: Box | None, lon: Box | None, per_unit: float = 4.0,
+                   lat_col: str = "lat", lon_col: str = "lon") -> DataFrame:
+    """Rows whose half-up snapped coordinate lies in the box, decided on the raw coordinate.
+
+    The box holds the grid lines from the first at or above its lower bound to the last at or below
+    its upper one; a raw value belongs to them up to half a cell beyond, and a tie goes away from
+    zero. Being plain comparisons of raw columns with numbers, all of it can be pushed into the scan.
     """
     kept = df.filter(F.col(lat_col).isNotNull() & F.col(lon_col).isNotNull())
     for name, bounds in ((lat_col, lat), (lon_col, lon)):
         if bounds is not None:
-            kept = kept.filter(F.col(name).between(bounds[0] - margin, bounds[1] + margin))
+            low = (math.ceil(bounds[0] * per_unit) - 0.5) / per_unit
+            high = (math.floor(bounds[1] * per_unit) + 0.5) / per_unit
+            c = F.col(name)
+            kept = kept.filter((c >= low if low > 0 else c > low) & (c < high if high > 0 else c <= high))
     return kept
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import Window
 
 from cellcast.functions.dates import season
 from cellcast.functions.features import PROB_HIGH, PROB_SOFT, classify_phase, soft_threshold
-from cellcast.functions.grid import Box, in_box, snap
-from cellcast.shared import value_of
+from cellcast.functions.grid import Box, in_snapped_box, snap
+from cellcast.shared import small, value_of
 
 MONTH = ("year", "month")
 # Outcome codes, in report order and in matrix order.
@@ -35,12 +35,12 @@ def snap_then_mean(df: DataFrame, measures: dict[str, str], lat: Box = (0.0, 30.
                    per_unit: float = 4.0) -> DataFrame:
     """Second source aligned to the grid: snap, keep the box, then mean per cell and day.
 
-    The raw coordinates are first filtered with the box widened by half a cell; that filter can be
-    pushed into the scan, the one on snapped coordinates cannot.
+    The box is decided on the raw coordinates, so it can be pushed into the scan and the snap is
+    computed once per kept row.
     """
-    raw = in_box(df, lat, lon, margin=0.5 / per_unit)
-    snapped = raw.withColumns({"lat": snap("lat", per_unit), "lon": snap("lon", per_unit)})
-    return daily_mean(in_box(snapped, lat, lon), ["lat", "lon", date], measures)
+    snapped = in_snapped_box(df, lat, lon, per_unit).withColumns(
+        {"lat": snap("lat", per_unit), "lon": snap("lon", per_unit)})
+    return daily_mean(snapped, ["lat", "lon", date], measures)
 
 
 def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
@@ -291,7 +291,7 @@ def mass_centre(df: DataFrame, score: str = "prob", at: str = "lon", share: floa
     """
     cuts = df.groupBy(*keys).agg(
         F.percentile_approx(score, 1.0 - share, accuracy).alias("_cut"))
-    top = df.join(F.broadcast(cuts), on=list(keys)).filter(F.col(score) >= F.col("_cut"))
+    top = df.join(small(cuts), on=list(keys)).filter(F.col(score) >= F.col("_cut"))
     return top.groupBy(*keys).agg(
         (F.sum(F.col(score) * F.col(at)) / F.nullif(F.sum(score), F.lit(0.0))).alias("mass_centre"))
 
@@ -315,7 +315,7 @@ def climate_analogs(df: DataFrame, value: str = "driver", months: Sequence[int]
         year, month).agg(F.avg(value).alias("_v"))
     full = monthly.groupBy(year).agg(F.count(F.lit(1)).alias("_n")).filter(
         F.col("_n") == len(months)).select(year)
-    vectors = monthly.join(F.broadcast(full), on=year, how="left_semi")
+    vectors = monthly.join(full, on=year, how="left_semi")
     other = vectors.select(F.col(year).alias("analog_year"), month, F.col("_v").alias("_w"))
     pairs = (vectors.join(other, on=month).filter(F.col(year) != F.col("analog_year"))
              .groupBy(year, "analog_year")

@@ -48,12 +48,14 @@ def fit_classifier(train: DataFrame, val: DataFrame, features: Sequence[str],
                    seed: int = SEED) -> GBTClassificationModel:
     """Boosted trees on class-weighted rows, stopped when the validation loss stops improving.
 
-    Training stays on the executors; nothing is collected.
+    Training stays on the executors; nothing is collected. The rows are rebalanced first: a sample of
+    a large table sits thinly in as many partitions as the table had, and boosting visits every one
+    of them many times.
     """
     cols = [*features, label, "weight"]
     weighted = class_weights(train, label).select(*cols).withColumn("_val", F.lit(False))
     held = val.withColumn("weight", F.lit(1.0)).select(*cols).withColumn("_val", F.lit(True))
-    rows = impute_with(weighted.unionByName(held), means, list(features))
+    rows = impute_with(weighted.unionByName(held), means, list(features)).hint("rebalance")
     data = assemble(rows, features).select(
         "features", F.col(label).cast("double").alias("label"), "weight", "_val")
     return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",

@@ -51,7 +51,8 @@ def fit_events(features: DataFrame, names: Sequence[str] = ALL_FEATURES,
     because boosting reads it many times. ``features`` should be materialised.
     """
     keep = list(dict.fromkeys([*key, "year", *names, label]))
-    base = checkpointed(undersample(features, list(key), label, ratio).select(*keep))
+    base = checkpointed(
+        undersample(features, list(key), label, ratio).select(*keep).hint("rebalance"))
     train, val, test = temporal_split(base, bounds)
     means = checkpointed(feature_means(train, names))
     classifier = models.fit_classifier(train, val, names, means, label, rounds, depth)

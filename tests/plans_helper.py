@@ -4,11 +4,16 @@ import contextlib
 import io
 
 
-def plan_of(df) -> str:
+def full_plan(df) -> str:
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         df.explain("formatted")
-    return out.getvalue().split("\n\n\n")[0]
+    return out.getvalue()
+
+
+def plan_of(df) -> str:
+    """The tree part of the plan."""
+    return full_plan(df).split("\n\n\n")[0]
 
 
 def count(df, operator: str) -> int:

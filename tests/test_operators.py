@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cellcast.operators import aggregates as agg
 from cellcast.operators import evaluate, joins, ordering, sampling, windows
-from tests.plans_helper import count, plan_of
+from cellcast.functions.grid import in_snapped_box, snap
+from tests.plans_helper import count, full_plan, plan_of
 
 DAY = dt.date(2000, 1, 1)
 
@@ -97,14 +98,18 @@ def test_snapped_mean_keeps_border_cells(spark):
 def test_raw_box_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "sea")
     cells(spark, [(1.0, 101.0, DAY, 1.0)]).write.parquet(path)
-    plan = plan_of(agg.snap_then_mean(spark.read.parquet(path), {"v": "m"}))
-    full = spark.read.parquet(path)
-    assert plan and full
-    import contextlib, io
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        agg.snap_then_mean(full, {"v": "m"}).explain("formatted")
-    assert "GreaterThanOrEqual(lat,-0.125)" in out.getvalue()
+    text = full_plan(agg.snap_then_mean(spark.read.parquet(path), {"v": "m"}))
+    for pushed in ("GreaterThan(lat,-0.125)", "LessThan(lat,30.125)", "GreaterThanOrEqual(lon,99.875)"):
+        assert pushed in text
+
+
+def test_raw_box_equals_snapped_box(spark):
+    values = [x / 16 for x in range(-80, 81)]
+    df = spark.createDataFrame([(v, 0.0) for v in values], "lat double, lon double")
+    for box in ((0.0, 2.0), (-2.0, 0.0), (0.1, 1.9), (-3.0, -0.6), (1.0, 1.0), (0.3, 0.4)):
+        got = {r.lat for r in in_snapped_box(df, box, None).collect()}
+        snapped = df.withColumn("s", snap("lat")).filter(F.col("s").between(*box))
+        assert got == {r.lat for r in snapped.collect()}, box
 
 
 def test_distinct_by_target_equals_conditional_distincts(spark):
