@@ -35,17 +35,17 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Co
 
     ``block`` must not decrease along ``order`` (e.g. its leading column). Rows are numbered within
     their block and shifted by the size of the key's earlier blocks, which come from a counting
-    aggregate. Keys must not be null.
+    aggregate. Keys and block are compared as structs, so null is a key like any other.
     """
-    keys = list(keys)
-    blocked = df.withColumn("_block", F.col(block) if isinstance(block, str) else block)
-    sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(FIRST, -1)
-    offsets = sizes.select(*keys, "_block",
+    blocked = df.withColumns({
+        "_key": F.struct(*keys), "_block": F.struct(F.col(block) if isinstance(block, str) else block)})
+    sizes = blocked.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(FIRST, -1)
+    offsets = sizes.select("_key", "_block",
                            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*keys, "_block").orderBy(*order)
+    within = Window.partitionBy("_key", "_block").orderBy(*order)
     rows = blocked.withColumn("_within", F.row_number().over(within))
-    return rows.join(offsets, on=[*keys, "_block"], how="inner").select(
+    return rows.join(offsets, on=["_key", "_block"], how="inner").select(
         *df.columns, (F.col("_within") + F.col("_offset")).alias(out))
 
 
@@ -163,19 +163,19 @@ def running_totals(scores: DataFrame, cols: Sequence[str], keys: Sequence[str] =
     of the blocks before it: exact, whatever the cuts. ``scores`` is read three times, so it is
     checkpointed first.
     """
-    keys, scores = list(keys), checkpointed(scores)
+    scores = checkpointed(scores)
     cut = QuantileDiscretizer(numBuckets=blocks, inputCol=order, outputCol="_block",
-                              relativeError=1.0 / (4 * blocks)).fit(scores)
-    blocked = cut.transform(scores)
+                              relativeError=1.0 / (4 * blocks), handleInvalid="keep").fit(scores)
+    blocked = cut.transform(scores).withColumn("_key", F.struct(F.lit(0), *keys))
     if descending:
         blocked = blocked.withColumn("_block", -F.col("_block"))
     along = F.col(order).desc() if descending else F.col(order).asc()
-    within = Window.partitionBy(*keys, "_block").orderBy(along).rowsBetween(FIRST, HERE)
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(FIRST, -1)
-    totals = blocked.groupBy(*keys, "_block").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
-    offsets = totals.select(*keys, "_block", *[
+    within = Window.partitionBy("_key", "_block").orderBy(along).rowsBetween(FIRST, HERE)
+    earlier = Window.partitionBy("_key").orderBy("_block").rowsBetween(FIRST, -1)
+    totals = blocked.groupBy("_key", "_block").agg(*[F.sum(c).alias(f"_{c}") for c in cols])
+    offsets = totals.select("_key", "_block", *[
         F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in cols])
     rows = blocked.select("*", *[F.sum(c).over(within).alias(f"_in_{c}") for c in cols])
-    return rows.join(offsets, on=[*keys, "_block"], how="inner").select(
+    return rows.join(offsets, on=["_key", "_block"], how="inner").select(
         *scores.columns,
         *[(F.col(f"_in_{c}") + F.col(f"_before_{c}")).alias(f"cum_{c}") for c in cols])

@@ -89,9 +89,10 @@ def first_slice(df: DataFrame, ts: str, required: Sequence[str],
                 by: Sequence[str] = ()) -> DataFrame:
     """Rows at the earliest ``ts`` (of each ``by`` group), then those with ``required`` present."""
     if by:
-        earliest = df.groupBy(*by).agg(F.min(ts).alias("_first"))
-        hits = df.join(small(earliest), on=list(by), how="inner").filter(
-            F.col(ts) == F.col("_first")).drop("_first").select(df.columns)
+        keyed = df.withColumn("_by", F.struct(*by))  # as a struct, a null group is kept too
+        earliest = keyed.groupBy("_by").agg(F.min(ts).alias("_first"))
+        hits = keyed.join(small(earliest), on="_by", how="inner").filter(
+            F.col(ts) == F.col("_first")).select(df.columns)
     else:
         hits = df.filter(F.col(ts) == value_of(df.agg(F.min(ts).alias("first"))).getField("first"))
     return hits.dropna(subset=list(required))

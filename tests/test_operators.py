@@ -228,6 +228,24 @@ def test_numbering_matches_row_number(spark):
             assert got[k, i] == n
 
 
+def test_numbering_keeps_null_keys_and_hot_keys(spark):
+    rows = [(None, None, i) for i in range(4)] + [("hot", d, i) for d in range(30) for i in range(10)]
+    rows += [("cold", 1, 0), (None, 2, 9)]
+    df = spark.createDataFrame(rows, "k string, d int, i int")
+    got = windows.numbered(df, ["k"], ["d", "i"], "d").collect()
+    assert len(got) == len(rows)
+    assert sorted(r.row_no for r in got if r.k is None) == [1, 2, 3, 4, 5]
+    assert sorted(r.row_no for r in got if r.k == "hot") == list(range(1, 301))
+
+
+def test_running_totals_with_null_key_and_nan(spark):
+    df = spark.createDataFrame([(None, 0.1, 1), (None, 0.2, 2), ("a", 0.1, 4), ("a", float("nan"), 8)],
+                               "split string, score double, n int")
+    got = {(r.split, str(r.score)): r.cum_n for r in
+           windows.running_totals(df, ["n"], ["split"], blocks=4).collect()}
+    assert got == {(None, "0.1"): 1, (None, "0.2"): 3, ("a", "0.1"): 4, ("a", "nan"): 12}
+
+
 def test_in_year_windows_restart(spark):
     df = spark.createDataFrame([(1, 11, 2.0, 1), (1, 12, 4.0, 2), (2, 1, 10.0, 3), (2, 2, None, 4)],
                                "year int, month int, driver double, actual_count int")

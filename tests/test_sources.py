@@ -41,6 +41,9 @@ def test_file_year(spark):
 def test_first_slice_without_groups(spark):
     df = spark.createDataFrame([(2, 1.0), (1, 5.0), (1, None)], "t int, v double")
     assert [tuple(r) for r in grids.first_slice(df, "t", ["v"]).collect()] == [(1, 5.0)]
+    grouped = spark.createDataFrame([(None, 2, 1.0), (None, 3, 1.0), (7, 1, 5.0)], "g int, t int, v double")
+    rows = grids.first_slice(grouped, "t", ["v"], by=["g"]).collect()
+    assert sorted((r.g or 0, r.t) for r in rows) == [(0, 2), (7, 1)]
 
 
 def test_units_row_and_null_ids_go(spark):
