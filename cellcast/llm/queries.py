@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import decontaminate, language, mixing, sharding, simhash
+from cellcast.llm import (decontaminate, language, mixing, neighbours, pages, quality, samples,
+                          sharding, simhash, toxicity, urls)
 from cellcast.llm.text import remainder_of_id
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,14 @@ def held_out(divisor: int, remainder: int) -> Column:
     return F.coalesce(remainder_of_id("doc_id", divisor) == remainder, F.lit(False))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    sample = samples.labelled_sample(docs, read(spark, sf_dir, "labels"), "toxic", ~held_out(3, 1))
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), toxicity.fit_toxicity(sample))
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(read(spark, sf_dir, "documents"),
                                   read(spark, sf_dir, "benchmark")).drop("key")
@@ -35,6 +44,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("size") * copies).cast("long").alias("taken"))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(neighbours.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot",
@@ -53,7 +67,26 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract_text(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    sample = samples.labelled_sample(docs, read(spark, sf_dir, "labels"), "quality", ~held_out(3, 1))
+    model = quality.fit_quality(sample, quality.fit_vectors(docs))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score",
+                         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_decontaminate, op3_mix, op5_shard, op6_simhash, op7_language)}
+    op1_toxicity, op2_decontaminate, op3_mix, op4_neighbours, op5_shard, op6_simhash, op7_language,
+    op8_pages, op9_urls, op10_quality)}
 
 ORACLE_SQL: dict[str, str] = {}

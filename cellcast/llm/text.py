@@ -17,10 +17,12 @@ GROUP_CHARS = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.arange(256)
-# Words between ASCII white space, and words of ASCII letters, digits and any other script.
-SPACED = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)) | (_BYTES == 0))
+# Classes of bytes; a word is a run of one class other than 0. LETTERED: ASCII letters, digits and any
+# other script. RUNS: the same, and runs of signs between them as words of their own.
+_BLANK = (_BYTES <= 0x20) | (_BYTES == 0x7F)
 LETTERED = (((_BYTES >= 0x30) & (_BYTES <= 0x39)) | ((_BYTES >= 0x41) & (_BYTES <= 0x5A))
-            | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80))
+            | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | (_BYTES >= 0x80)).astype(np.int8)
+RUNS = np.where(_BLANK, 0, np.where(LETTERED == 1, 1, 2)).astype(np.int8)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -84,7 +86,8 @@ def _hash_bytes(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
     inside = np.zeros(len(data) + 2, dtype=np.int8)
     inside[1:-1] = table[data]
     edges = np.flatnonzero(np.diff(inside))
-    starts, ends = edges[::2], edges[1::2]
+    word = inside[edges[:-1] + 1] != 0 if len(edges) else np.zeros(0, dtype=bool)
+    starts, ends = edges[:-1][word], edges[1:][word]
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
