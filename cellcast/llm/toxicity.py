@@ -42,7 +42,10 @@ WORDS = {
             "töten umbringen schlagen verbrennen tuer frapper brûler matar golpear quemar",
 }
 SEED_WEIGHT = 3.0
-PREFIXES = (4, 5, 6)
+# Lengths of learned word beginnings; a word must be longer than the beginning.
+PREFIXES = (4, 5, 6, 7, 8)
+# Times one document counts for an entry at most.
+REPEATS = 4
 # Learned entries: documents of label 1 that hold one, least weight, and how many at most.
 LEAST_DOCUMENTS, LEAST_WEIGHT, MAX_ENTRIES = 4, 1.0, 20_000
 # Standard deviations taken off a learned weight.
@@ -126,7 +129,7 @@ class Lexicon:
         if not word[0].isalnum():
             return BREAK, 0.0
         weight = max([self.words.get(word, 0.0),
-                      *(self.beginnings.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n)])
+                      *(self.beginnings.get(word[:n], 0.0) for n in PREFIXES if len(word) > n)])
         if weight > 0:
             return INSULT, weight
         return _FIXED.get(word, (OTHER, 0.0))
@@ -138,11 +141,12 @@ _FIXED = {word: (symbol, SEED_WEIGHT if symbol >= INSULT else 0.0)
 
 
 def matches(text: str | None, symbols: _Symbols) -> np.ndarray:
-    """Summed weights of a text's matched clauses by category. A text of over a million characters is
-    read in pieces cut at white space."""
-    sums = np.zeros(len(CATEGORIES))
+    """Summed weights of a text's matched clauses by category, then its words. A text of over a million
+    characters is read in pieces cut at white space."""
+    sums = np.zeros(len(CATEGORIES) + 1)
     for piece in pieces((text or "").lower()):
         read = [symbols[w] for w in _TOKEN.findall(piece)]
+        sums[-1] += len(read)
         if not read or max(read)[0] < INSULT:
             continue
         state, found = 0, []
@@ -162,20 +166,32 @@ def matches(text: str | None, symbols: _Symbols) -> np.ndarray:
     return sums
 
 
-_COUNTS = "entry string, half int, label int, n long"
+_COUNTS = "entry string, half int, label int, docs long, n long"
+
+
+def _entries(text: str) -> Counter:
+    """Words and word beginnings (marked by a star) of a text, each counted ``REPEATS`` times at most."""
+    words = Counter(w for p in pieces(text.lower()) for w in _TOKEN.findall(p) if w[0].isalnum())
+    entries = Counter(words)
+    for word, n in words.items():
+        for k in PREFIXES:
+            if len(word) > k:
+                entries[f"{word[:k]}*"] += n
+    return Counter({e: min(n, REPEATS) for e, n in entries.items()})
 
 
 def _count_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents that hold each word and each word beginning (marked by a star), by half and label."""
-    counts: Counter = Counter()
+    """Documents that hold each entry, and its occurrences there, by half and label."""
+    docs: Counter = Counter()
+    times: Counter = Counter()
     for batch in batches:
         for text, half, label in zip(batch["text"], batch["half"], batch["label"]):
-            words = {w for p in pieces(text.lower()) for w in _TOKEN.findall(p) if w[0].isalnum()}
-            entries = words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) >= n}
-            counts.update((e, half, label) for e in entries)
-    rows = [(*key, n) for key, n in counts.items()]
-    yield pd.DataFrame(rows, columns=["entry", "half", "label", "n"]).astype(
-        {"half": "int32", "label": "int32", "n": "int64"})
+            for entry, n in _entries(text).items():
+                docs[entry, half, label] += 1
+                times[entry, half, label] += n
+    rows = [(*key, n, times[key]) for key, n in docs.items()]
+    yield pd.DataFrame(rows, columns=["entry", "half", "label", "docs", "n"]).astype(
+        {"half": "int32", "label": "int32", "docs": "int64", "n": "int64"})
 
 
 def _lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: Sequence[int]) -> Lexicon:
@@ -184,13 +200,14 @@ def _lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: Seque
     if not n1 or not n0:
         return Lexicon()
 
-    def of(label: int):
-        return F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
+    def of(label: int, column: str):
+        return F.coalesce(F.sum(F.when(F.col("label") == label, F.col(column))), F.lit(0))
 
     table = counts.where(F.col("half").isin(*halves)).groupBy("entry").agg(
-        of(1).alias("a"), of(0).alias("b")).where(F.col("a") >= LEAST_DOCUMENTS)
+        of(1, "n").alias("a"), of(0, "n").alias("b"), of(1, "docs").alias("docs_a"),
+        of(0, "docs").alias("docs_b")).where(F.col("docs_a") >= LEAST_DOCUMENTS)
     odds = (F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-            - CAUTION * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5)))
+            - CAUTION * F.sqrt(1 / (F.col("docs_a") + 0.5) + 1 / (F.col("docs_b") + 0.5)))
     best = table.select("entry", odds.alias("w")).where(F.col("w") >= LEAST_WEIGHT).orderBy(
         F.desc("w"), "entry").limit(MAX_ENTRIES).collect()
     return Lexicon({r.entry: r.w for r in best if not r.entry.endswith("*")},
@@ -199,25 +216,29 @@ def _lexicon(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: Seque
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """The lexicon, and the log-linear weight of each category of match."""
+    """The lexicon, the weight of each category and of the three sums beside them, and the bias."""
 
     lexicon: Lexicon
     weights: np.ndarray
     bias: float
 
-    def score(self, sums: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-(np.log1p(sums) @ self.weights + self.bias)))
+
+
+def _design(sums: np.ndarray) -> np.ndarray:
+    """Logs of the categories' weights, of all weight, of all weight per thousand words, and of words."""
+    total, words = sums[:, :-1].sum(axis=1), sums[:, -1]
+    return np.log1p(np.column_stack((sums[:, :-1], total, 1000 * total / np.maximum(words, 1), words)))
 
 
 def _fit_weights(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 2.0
                  ) -> tuple[np.ndarray, float]:
     """Logistic weights of the categories, drawn towards ``PRIOR``; classes weigh as in the whole."""
-    prior = np.append(2.0 * PRIOR, -3.0)
+    prior = np.concatenate((2.0 * PRIOR, [0.0, 0.0, 0.0, -3.0]))
     if not len(y):
         return prior[:-1], -3.0
-    design = np.column_stack((np.log1p(x), np.ones(len(y))))
+    design = np.column_stack((_design(x), np.ones(len(y))))
     w = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum())) * len(y)
-    pull = np.append(np.full(x.shape[1], ridge), 0.1)
+    pull = np.append(np.full(len(prior) - 1, ridge), 0.1)
     beta = prior.copy()
     for _ in range(40):
         p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -250,7 +271,7 @@ def fit_toxicity(sample: LabelledSample) -> ToxicityModel:
     spark = sample.rows.sparkSession
     rows = sample.rows.withColumn("half", F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int"))
     counts = checkpointed(rows.mapInPandas(_count_entries, _COUNTS).groupBy(
-        "entry", "half", "label").agg(F.sum("n").alias("n")))
+        "entry", "half", "label").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")))
     sizes = {(r["half"], r["label"]): r["count"] for r in rows.groupBy("half", "label").count().collect()}
     x, y = [], []
     for half in (0, 1):
@@ -260,7 +281,7 @@ def fit_toxicity(sample: LabelledSample) -> ToxicityModel:
         x += part["sums"].tolist()
         y += part["label"].tolist()
     total = sum(sample.totals)
-    weights, bias = _fit_weights(np.array(x).reshape(-1, len(CATEGORIES)), np.array(y),
+    weights, bias = _fit_weights(np.array(x).reshape(-1, len(CATEGORIES) + 1), np.array(y),
                                  sample.totals[1] / total if total else 0.5)
     return ToxicityModel(_lexicon(counts, sizes, [0, 1]), weights, bias)
 
@@ -275,8 +296,12 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text_column: str = "te
     name = sums_name or "toxicity_sums"
     while not sums_name and name in docs.columns:
         name = f"_{name}"
+    parts = F.slice(F.col(name), 1, len(CATEGORIES))
+    total = F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)
+    words = F.element_at(F.col(name), len(CATEGORIES) + 1)
+    terms = F.concat(parts, F.array(total, 1000 * total / F.greatest(words, F.lit(1.0)), words))
     logit = F.aggregate(
-        F.zip_with(name, F.array(*[F.lit(float(w)) for w in model.weights]),
+        F.zip_with(terms, F.array(*[F.lit(float(w)) for w in model.weights]),
                    lambda s, w: F.log1p(s) * w), F.lit(float(model.bias)), lambda a, v: a + v)
     scored = docs.withColumn(name, _match_udf(lexicon)(F.col(text_column))).withColumn(
         score_name, 1.0 / (1.0 + F.exp(-logit)))
