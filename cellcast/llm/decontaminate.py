@@ -19,8 +19,8 @@ MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 1, 6, 7, 9, 10), (0, 1, 2,
 SPAN = 1 + max(m[-1] for m in MASKS)
 SIMILARITY = 0.8
 MIN_TOKENS = 13
-# Tokens kept on either side of a hit.
-REACH = 64
+# Hits are worked on by windows of so many tokens, with so many more on either side.
+WINDOW, REACH = 512, 64
 _MULTIPLIERS = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -95,7 +95,7 @@ def _in_sieve(hashes: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
 
 def _regions(batches: Iterator[pd.DataFrame], sieve, masks: Sequence[Sequence[int]]
              ) -> Iterator[pd.DataFrame]:
-    """Stretches of a text around possible hits: their tokens, and the hits with their hashes."""
+    """For every window of a text with possible hits: the tokens around them, and the hits' hashes."""
     table, bits = sieve.value
     for batch in batches:
         keys, row = batch["key"].to_numpy(), 0
@@ -112,8 +112,8 @@ def _regions(batches: Iterator[pd.DataFrame], sieve, masks: Sequence[Sequence[in
             order = np.argsort(at, kind="stable")
             at, hashes = at[order], hashes[order]
             text = np.searchsorted(offsets, at, side="right") - 1
-            new = np.flatnonzero((np.diff(at, prepend=-1) > 2 * REACH)
-                                 | (np.diff(text, prepend=-1) != 0))
+            window = (at - offsets[text]) // WINDOW
+            new = np.flatnonzero((np.diff(window, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
             for i, j in zip(new, np.append(new[1:], len(at))):
                 t = text[i]
                 first = max(offsets[t], at[i] - REACH)
@@ -134,12 +134,11 @@ def longest_overlap(same: np.ndarray, similarity: float = SIMILARITY) -> tuple[i
     if not same.any():
         return 0, 0
     sums = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0 - similarity, -similarity))))
-    low = np.minimum.accumulate(sums)
-    first = np.searchsorted(-low, -(sums + 1e-9), side="left")
-    b = int(np.argmax(np.arange(len(sums)) - first))
-    a = int(first[b])
-    agree = np.flatnonzero(same[a:b])
-    return (a + int(agree[0]), a + int(agree[-1]) + 1) if len(agree) else (0, 0)
+    low = np.minimum.accumulate(np.where(same, sums[:-1], np.inf))
+    ends = np.flatnonzero(same) + 1
+    starts = np.searchsorted(-low, -(sums[ends] + 1e-9), side="left")
+    best = int(np.argmax(ends - starts))
+    return int(starts[best]), int(ends[best])
 
 
 _OVERLAP = "key long, item long, start int, length int, matches int"
@@ -147,16 +146,20 @@ _OVERLAP = "key long, item long, start int, length int, matches int"
 
 def _verify(batches: Iterator[pd.DataFrame], similarity: float, min_tokens: int
             ) -> Iterator[pd.DataFrame]:
+    """The best overlap of each (window, item) over all diagonals that a hit lies on, if long enough."""
     for batch in batches:
         rows = []
-        for key, item, start, diagonal, tokens, wanted in batch[
-                ["key", "item", "start", "diagonal", "tokens", "item_tokens"]].itertuples(index=False):
-            shift = diagonal - start
-            a, b = max(0, shift), min(len(tokens), shift + len(wanted))
-            same = tokens[a:b] == wanted[a - shift:b - shift]
-            i, j = longest_overlap(same, similarity)
-            if j - i >= max(1, min(min_tokens, len(wanted))):
-                rows.append((key, item, start + a + i, j - i, int(same[i:j].sum())))
+        for key, item, start, diagonals, tokens, wanted in batch[
+                ["key", "item", "start", "diagonals", "tokens", "item_tokens"]].itertuples(index=False):
+            best = (0, 0, 0)
+            for shift in np.unique(diagonals) - start:
+                a, b = max(0, shift), min(len(tokens), shift + len(wanted))
+                same = tokens[a:b] == wanted[a - shift:b - shift]
+                i, j = longest_overlap(same, similarity)
+                if j - i >= max(1, min(min_tokens, len(wanted))):
+                    best = max(best, (int(same[i:j].sum()), j - i, -(start + a + i)))
+            if best[0]:
+                rows.append((key, item, -best[2], best[1], best[0]))
         yield pd.DataFrame(rows, columns=["key", "item", "start", "length", "matches"]).astype(
             {"key": "int64", "item": "int64", "start": "int32", "length": "int32", "matches": "int32"})
 
@@ -171,9 +174,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     position of every text is hashed under each mask; hashes of documents and items meet in an
     equi-join; around each hit the aligned tokens are compared, and the longest stretch with at least
     ``similarity`` agreeing counts if it has ``min_tokens`` tokens, or the whole of a shorter item.
-    Items of fewer than 11 tokens must occur as they are.
+    Items of fewer than 11 tokens must occur as they are. Texts are worked on by windows of 512 tokens
+    and 64 more on either side: every window is searched, and a longer overlap is reported by its best
+    window.
 
-    Only stretches around possible hits are shuffled, once each, with the seeds' hits. A passage that
+    Only windows with possible hits are shuffled, once each, with the seeds' hits; a window is at most
+    651 tokens and is compared once per item, however often a passage repeats. A passage that
     many documents hold is one key of the join: its document side is split by the adaptive skew join,
     its benchmark side has one row per item that holds it. Null and empty texts have no overlap;
     repeated rows are one document; equal items each count.
@@ -198,10 +204,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     hits = regions.select("key", "start", F.explode(F.arrays_zip("hit_at", "hit_hash")).alias("h"))
     found = hits.select("key", "start", F.col("h.hit_at").alias("at"), F.col("h.hit_hash").alias("hash")
                         ).join(seeds, "hash").groupBy(
-        "key", "start", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).count()
+        "key", "start", "item").agg(F.collect_set(F.col("at") - F.col("item_at")).alias("diagonals"))
     aligned = found.join(regions.select("key", "start", "tokens"), ["key", "start"]).join(
         tokens.withColumnRenamed("tokens", "item_tokens"), "item")
-    kept = aligned.select("key", "item", "start", "diagonal", "tokens", "item_tokens").mapInPandas(
+    kept = aligned.select("key", "item", "start", "diagonals", "tokens", "item_tokens").mapInPandas(
         lambda b: _verify(b, similarity, min_tokens), _OVERLAP)
     best = kept.groupBy("key", "item").agg(F.max(F.struct(
         "matches", "length", (-F.col("start")).alias("back"))).alias("o"))
