@@ -112,16 +112,28 @@ def _(t):
 def _(t):
     rows = monthly_features(t)
     model = fit_zero_inflated(rows.filter("year <= 1999"), COUNT_FEATURES, INFLATION_FEATURES,
-                              "actual_VN", rounds=3)
+                              "actual_VN")
     return predict_zero_inflated(rows, model).select("year", "month", r6("pred"))
 
 
-@query("ml_fit_fallback")
+# Targets that take each step of the fallback: both parts can be fitted; without a zero there is no
+# zero part; what never occurs has no model at all.
+FALLBACKS = {"some": ("actual_VN", "zero_inflated"), "always": ("actual_VN + 1", "count"),
+             "never": ("actual_VN * 0", "zeros")}
+
+
+@query("ml_fit_fallback", views="monthly_x", oracle=" UNION ALL ".join(
+    f"SELECT year, month, '{name}' AS target, '{kind}' AS kind, {name != 'never'} AS positive FROM monthly_x"
+    for name, (_, kind) in FALLBACKS.items()))
 def _(t):
-    """A target that never occurs: no count model can be fitted, so zeros are predicted."""
-    rows = monthly_features(t).withColumn("never", F.lit(0))
-    model = fit_zero_inflated(rows, COUNT_FEATURES, INFLATION_FEATURES, "never", rounds=2)
-    return predict_zero_inflated(rows, model).select("year", "month", "pred")
+    parts = []
+    for name, (target, _) in FALLBACKS.items():
+        rows = monthly_features(t).withColumn("target_count", F.expr(target))
+        model = fit_zero_inflated(rows, COUNT_FEATURES, INFLATION_FEATURES, "target_count")
+        parts.append(predict_zero_inflated(rows, model).select(
+            "year", "month", F.lit(name).alias("target"), F.lit(model.kind).alias("kind"),
+            (F.col("pred") > 0).alias("positive")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("ml_standardise", views="labelled", oracle="""

@@ -8,11 +8,11 @@ from cellcast.catalog.registry import query
 from cellcast.operators import sampling
 
 COLS = ("l_orderkey", "l_linenumber", "prob", "label")
-BUCKETS = 1000
+BUCKETS = 2_147_483_647
 
 
 def key_hash():
-    return F.pmod(F.col("l_orderkey") * 613 + F.col("l_linenumber") * 271, F.lit(BUCKETS))
+    return F.pmod(F.col("l_orderkey") * 1_640_531_527 + F.col("l_linenumber") * 271_733_878, F.lit(BUCKETS))
 
 
 @query("sample_negatives")
@@ -24,7 +24,7 @@ def _(t):
 SELECT l_orderkey, l_linenumber, prob, label FROM scores, (SELECT
  LEAST(CAST(1.0 AS DOUBLE), CAST(5.0 AS DOUBLE) * SUM(label) / GREATEST(SUM(1 - label), 1)) AS f
  FROM scores) c
-WHERE label = 1 OR (l_orderkey * 613 + l_linenumber * 271) % 1000 < f * 1000""")
+WHERE label = 1 OR (l_orderkey * 1640531527 + l_linenumber * 271733878) % 2147483647 < f * 2147483647""")
 def _(t):
     return sampling.undersample(t.scores, key_hash(), ratio=5, buckets=BUCKETS).select(*COLS)
 

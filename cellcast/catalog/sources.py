@@ -180,16 +180,11 @@ def _(t):
 
 
 @query("src_row_counts_by_category", oracle="""
-SELECT category, COUNT(*) AS row_count FROM (
- SELECT 'lineitem' AS category FROM lineitem UNION ALL SELECT 'orders' FROM orders
- UNION ALL SELECT 'events' FROM events UNION ALL SELECT 'embeddings' FROM embeddings
- UNION ALL SELECT 'documents' FROM documents UNION ALL SELECT 'pages' FROM pages) u GROUP BY category
-UNION ALL SELECT 'TOTAL', (SELECT COUNT(*) FROM lineitem) + (SELECT COUNT(*) FROM orders)
- + (SELECT COUNT(*) FROM events) + (SELECT COUNT(*) FROM embeddings)
- + (SELECT COUNT(*) FROM documents) + (SELECT COUNT(*) FROM pages)""")
+WITH u AS (""" + " UNION ALL ".join(
+    f"SELECT '{n}' AS category, COUNT(*) AS row_count FROM {n}" for n in DRIVER_TABLES) + """)
+SELECT category, row_count FROM u UNION ALL SELECT 'TOTAL', CAST(SUM(row_count) AS BIGINT) FROM u""")
 def _(t):
-    names = ("lineitem", "orders", "events", "embeddings", "documents", "pages")
-    return count_rows_by_category(t.spark, [t.path(n) for n in names],
+    return count_rows_by_category(t.spark, [t.path(n) for n in DRIVER_TABLES],
                                   r"/([a-z_]+)\.parquet(?:/[^/]*)?$")
 
 

@@ -50,10 +50,10 @@ FROM events""",
     "monthly": """
 SELECT year, month, actual_count,
  CAST(actual_count + ((year * 12 + month) * 13 % 7 - 3) * 0.5 AS DOUBLE) AS pred_count
-FROM (SELECT CAST(YEAR(o_orderdate) AS INT) AS year, CAST(MONTH(o_orderdate) AS INT) AS month,
- COUNT(DISTINCT o_custkey % 40) AS actual_count
-FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 7 = 0 AND MONTH(o_orderdate) <> 3
-GROUP BY 1, 2) t""",
+FROM (SELECT CAST(YEAR(o_orderdate) AS INT) AS year,
+ CAST(CASE MONTH(o_orderdate) WHEN 3 THEN 2 ELSE MONTH(o_orderdate) END AS INT) AS month,
+ COUNT(*) % 13 AS actual_count
+FROM orders GROUP BY 1, 2) t""",
     "dirty": """
 SELECT event_id, ts, CASE event_id % 11 WHEN 0 THEN '-999' WHEN 1 THEN '' WHEN 2 THEN ' '
  WHEN 3 THEN '-9999' ELSE CAST(value AS STRING) END AS raw_value

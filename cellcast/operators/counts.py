@@ -7,11 +7,13 @@ from round to round; only coefficients and a few sums reach the driver.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
@@ -21,12 +23,43 @@ from pyspark.sql import functions as F
 from cellcast.functions.cleaning import clamp, finite
 from cellcast.shared import checkpointed
 
+log = logging.getLogger(__name__)
+
 _ETA = 30.0
 _TINY = 1e-9
 # Inner fits only have to improve on the last round.
 _TOL = 1e-4
-# Rows per task of the fitted frame: a monthly table is read in one task, a large one in many.
-_ROWS_PER_TASK = 100_000
+# Causes that say a model cannot be fitted to these rows, as solvers raise them on the JVM. Anything
+# else (a lost executor, a full disk) is no statement about the rows and is raised.
+_UNFIT = ("java.lang.IllegalArgumentException", "java.lang.ArithmeticException",
+          "java.lang.AssertionError", "SingularMatrixException", "NotConvergedException",
+          "MatrixSingularException", "MUST NOT be Null or NaN")
+
+
+def unfit(problem: Exception) -> bool:
+    """Whether a failed fit says that the rows admit no model."""
+    if isinstance(problem, (ArithmeticError, ValueError, IllegalArgumentException)):
+        return True
+    cause = problem.java_exception if isinstance(problem, Py4JJavaError) else None
+    for _ in range(20):
+        if cause is None:
+            return False
+        name = f"{cause.getClass().getName()} {cause.getMessage()}"
+        if any(kind in name for kind in _UNFIT):
+            return True
+        cause = cause.getCause()
+    return False
+
+
+def or_fallback(fit, fallback, what: str):
+    """``fit()``, or ``fallback()`` where the rows admit no such model; the reason is logged."""
+    try:
+        return fit()
+    except Exception as problem:
+        if not unfit(problem):
+            raise
+        log.warning("%s: %s", what, str(problem).splitlines()[0][:300])
+        return fallback()
 
 
 @dataclass
@@ -144,11 +177,12 @@ def fit_zero_inflated(df: DataFrame, count_features: Sequence[str],
     """E(Y) = mu (1 - pi): log-link count part, logit inflation part on its own features.
 
     A round is kept only if it raises the likelihood; the first that does not ends the loop. If the
-    first fit fails the plain count model is used, and if that fails too, zeros.
+    rows admit no such model a negative binomial one is used, and if they admit none either, zeros.
+    Failures that say nothing about the rows are raised.
     """
     count_features, inflation_features = list(count_features), list(inflation_features)
     used = list(dict.fromkeys(count_features + inflation_features))
-    rows = df.select(*used, F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("y"))
+    rows = df.filter(F.col(y).isNotNull()).select(*used, F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("y"))
     moments = rows.agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg((F.col("y") == 0).cast("double")).alias("zeros"),
         *[F.avg(F.coalesce(finite(c), F.lit(0.0))).alias(f"m_{c}") for c in used],
@@ -158,17 +192,30 @@ def fit_zero_inflated(df: DataFrame, count_features: Sequence[str],
                        {c: moments[f"s_{c}"] or 1.0 for c in used})
     if not moments["my"]:
         return model
-    tasks = math.ceil(moments["n"] / _ROWS_PER_TASK)
     data = checkpointed(_vector(_vector(rows, count_features, model, "xc"),
-                                inflation_features, model, "xi").coalesce(tasks))
-    try:
-        plain = _updated(model, kind="count", beta=_poisson(data, F.lit(1.0), reg))
-    except (PySparkException, ArithmeticError):
+                                inflation_features, model, "xi").hint("rebalance"))
+    plain = or_fallback(lambda: _negative_binomial(data, model, reg), lambda: model,
+                        "no count model, zeros are predicted")
+    if plain.kind == "zeros":
         return model
-    try:
-        return _expectation_maximisation(data, plain, moments["zeros"], rounds, tol, reg)
-    except (PySparkException, ArithmeticError):
-        return plain
+    return or_fallback(
+        lambda: _expectation_maximisation(data, plain, moments["zeros"], rounds, tol, reg),
+        lambda: plain, "no zero-inflated model, the plain count model is used")
+
+
+def _negative_binomial(data: DataFrame, model: CountModel, reg: float, rounds: int = 5) -> CountModel:
+    """NB2 regression: a Poisson fit, the dispersion by moments, and fits weighted by it in turn."""
+    plain = _updated(model, kind="count", beta=_poisson(data, F.lit(1.0), reg))
+    for _ in range(rounds):
+        spread = data.withColumn("_mu", plain.mean()).agg(
+            F.expr("sum((y - _mu) * (y - _mu) - _mu)").alias("num"),
+            F.expr("sum(_mu * _mu)").alias("den")).first()
+        alpha = max(0.0, spread["num"] / spread["den"]) if spread["den"] else 0.0
+        if abs(alpha - plain.alpha) <= _TOL * max(1.0, plain.alpha):
+            return plain
+        weight = F.lit(1.0) / (F.lit(1.0) + plain.mean() * F.lit(alpha))
+        plain = _updated(plain, beta=_poisson(data, weight, reg), alpha=alpha)
+    return plain
 
 
 def _updated(m: CountModel, **changes) -> CountModel:

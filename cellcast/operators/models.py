@@ -124,8 +124,9 @@ def _glm(family: str, reg: float, max_iter: int = 25, **kwargs) -> GeneralizedLi
 
 def fit_tweedie(df: DataFrame, features: Sequence[str], y: str, power: float = TWEEDIE_POWER,
                 reg: float = 1e-3) -> GeneralizedLinearRegressionModel:
-    """Log-link Tweedie regression."""
-    data = assemble(df.withColumn("y", F.col(y).cast("double")), features)
+    """Log-link Tweedie regression; negative values count as 0, rows without a value are left out."""
+    known = df.filter(F.col(y).isNotNull())
+    data = assemble(known.withColumn("y", F.greatest(F.col(y).cast("double"), F.lit(0.0))), features)
     return _glm("tweedie", reg, variancePower=power, linkPower=0.0).fit(data.select("features", "y"))
 
 
@@ -164,7 +165,7 @@ def fit_seasonal_poisson(df: DataFrame, features: Sequence[str], y: str, folds:
         glm = _glm("poisson", 0.0, link="log")
         grid = ParamGridBuilder().addGrid(glm.regParam, penalty_grid(points)).build()
         fitted[name] = CrossValidator(
-            estimator=glm, estimatorParamMaps=grid, numFolds=folds, foldCol="_fold",
+            estimator=glm, estimatorParamMaps=grid, numFolds=folds, foldCol="_fold", parallelism=4,
             evaluator=RegressionEvaluator(labelCol="y", metricName="mae")).fit(part).bestModel
     return fitted
 

@@ -13,26 +13,25 @@ from cellcast.shared import value_of
 # Negatives kept per positive, and the seed.
 NEGATIVES_PER_POSITIVE = 20
 SEED = 42
-BUCKETS = 1_000_000
 
 
 def undersample(df: DataFrame, key: Sequence[str] | Column, label: str = "label",
                 ratio: float = NEGATIVES_PER_POSITIVE, seed: int = SEED,
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int = 1 << 53) -> DataFrame:
     """All positives and about ``ratio`` negatives per positive.
 
     The draw hashes the row's key, so the sample does not change with the partitioning and a retried
     task makes the same choice; it is a filter, nothing is shuffled. ``key`` is a list of columns
-    that identify a row, or an integer expression in [0, ``buckets``). The kept fraction is capped
-    at 1.
+    that identify a row, whose 64-bit hash is used to the 53 bits a double holds, or an integer
+    expression in [0, ``buckets``); then ``buckets`` is the finest step. The kept fraction is capped at 1.
     """
-    draw = key if isinstance(key, Column) else F.pmod(
-        F.xxhash64(*key, F.lit(seed)), F.lit(buckets))
+    if not isinstance(key, Column):
+        key, buckets = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11), 1 << 53
     counts = value_of(df.agg(F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
                              F.count(F.when(F.col(label) == 0, 1)).alias("neg")))
     fraction = F.least(F.lit(1.0), F.lit(float(ratio)) * counts.getField("pos")
                        / F.greatest(counts.getField("neg"), F.lit(1)))
-    return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & (draw < fraction * buckets)))
+    return df.filter((F.col(label) == 1) | ((F.col(label) == 0) & (key < fraction * float(buckets))))
 
 
 def strata_kept(df: DataFrame, sampled: DataFrame, by: Sequence[str],

@@ -12,14 +12,13 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.functions.cleaning import clamp
 from cellcast.operators import evaluate
 from cellcast.operators.aggregates import OUTCOMES, annual_rollup
-from cellcast.operators.counts import CountModel, fit_zero_inflated
+from cellcast.operators.counts import CountModel, fit_zero_inflated, unfit
 from cellcast.operators.joins import drop_incomplete_years
 from cellcast.operators.linear import fit_stack
 from cellcast.operators.models import fit_tweedie
@@ -81,7 +80,10 @@ def _fit_bases(rows: DataFrame, target: str, features: Sequence[str],
 def fit_target(rows: DataFrame, target: str, features: Sequence[str], start: int, end: int,
                rounds: int) -> TargetModel:
     """Bases on expanding years for the stack, then on all years up to ``end``."""
-    years = sorted(r[0] for r in rows.filter(F.col("year") <= end).select("year").distinct().collect())
+    known = rows.filter((F.col("year") <= end) & F.col(f"actual_{target}").isNotNull())
+    years = sorted(r[0] for r in known.select("year").distinct().collect())
+    if not years:
+        raise ValueError(f"{target} has no value up to {end}")
     folds = [y for y in years if y > start and y > years[0]]
     first = second = F  # F.when starts a chain, Column.when continues it
     for fold in folds:
@@ -102,7 +104,7 @@ def fit_target(rows: DataFrame, target: str, features: Sequence[str], start: int
 def forecast(months: DataFrame, features: Sequence[str], targets: Sequence[str] = TARGETS,
              start: int = FOLD_YEARS[0], end: int = FOLD_YEARS[1], rounds: int = 20,
              parallelism: int = 4) -> Forecast:
-    """A model per target that has a column; a target that fails is recorded and skipped.
+    """A model per target that has a column; a target whose rows admit no model is recorded and skipped.
 
     ``parallelism`` is the number of targets whose Spark jobs are submitted at the same time.
     """
@@ -113,7 +115,9 @@ def forecast(months: DataFrame, features: Sequence[str], targets: Sequence[str]
     def fit(target: str) -> None:
         try:
             out.models[target] = fit_target(rows, target, features, start, end, rounds)
-        except (PySparkException, ArithmeticError, ValueError) as problem:
+        except Exception as problem:
+            if not unfit(problem):
+                raise
             out.failed[target] = f"{type(problem).__name__}: {problem}"
 
     with ThreadPoolExecutor(parallelism) as pool:

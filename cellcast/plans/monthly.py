@@ -42,37 +42,39 @@ def monthly_features(months: DataFrame, legacy: bool = False) -> tuple[DataFrame
     """Lags, trailing means, phase interactions and season encoding; frame and feature names.
 
     ``months`` holds year, month, the ``monthly_index*`` columns, ``driver``, ``actual_count`` and
-    an ``index_<target>`` per outcome. ``legacy`` uses month dummies and no momentum features.
+    an ``index_<target>`` per outcome. ``legacy`` uses month dummies and no history of the year. The
+    features are the indices and the driver, and whatever the steps add to them.
     """
     own = [c for c in months.columns if c.startswith("index_")]
-    df = calendar_lag(months, ["driver", "monthly_index", "actual_count"])
-    df = trailing_in_group(df, ["driver", "monthly_index"])
-    df = phase_interactions(df)
-    df = df.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in own})
-    df = df.withColumns({f"{c}_log": log_index(c) for c in own})
-    base = ["monthly_index", "monthly_index_thresh", "monthly_index_count",
-            "monthly_index_density", "monthly_index_log", "driver", "driver_lag1",
-            "driver_3m_avg", "monthly_index_lag1", "monthly_index_3m_avg"]
-    phases = ["is_warm", "is_cold", "index_x_driver", "index_x_warm", "index_x_cold", "driver_abs"]
+    given = [c for c in months.columns if c.startswith("monthly_index")] + ["driver", *own]
+    df = months.withColumns({c: F.greatest(F.col(c), F.lit(0.0)) for c in own})
+    steps = [lambda d: calendar_lag(d, ["driver", "monthly_index"]),
+             lambda d: trailing_in_group(d, ["driver", "monthly_index"]), phase_interactions]
     if legacy:
-        df = one_hot(df)
-        flags = [f"month_{m}" for m in range(1, 13)]
-        names = [*base, *own, *phases, *flags, *[f"index_x_{f}" for f in flags]]
+        steps += [one_hot]
     else:
-        df = cyclical(df)
-        df = momentum(ytd_before(df))
-        df = diff_in_group(df)
-        names = [*base, "cumulative_ytd", "index_momentum", "driver_momentum", "actual_count_lag1",
-                 *own, *phases, "month_sin", "month_cos", "month", "index_x_month_sin",
-                 "index_x_month_cos", *[f"{c}_log" for c in own]]
-    return sanitise(df, [c for c in names if c != "month"]), names
+        steps += [lambda d: calendar_lag(d, ["actual_count"]), ytd_before, momentum, diff_in_group,
+                  cyclical, lambda d: d.withColumns({f"{c}_log": log_index(c) for c in own})]
+    added: list[str] = []
+    for step in steps:
+        before = set(df.columns)
+        df = step(df)
+        added += [c for c in df.columns if c not in before]
+    names = [*given, *added] + ([] if legacy else ["month"])
+    return sanitise(df, [*given, *added]), names
 
 
-def count_features(target: str) -> tuple[list[str], list[str]]:
-    """Count and inflation features of one target: outcomes use their own index."""
-    shared = ["index_x_driver", "cumulative_ytd", "index_momentum", "actual_count_lag1",
-              "index_x_month_sin", "index_x_month_cos"]
-    season = ["month_sin", "month_cos", "driver"]
-    if target == "count":
-        return ["monthly_index_log", *shared], season
-    return [f"index_{target}_log", *shared], [*season, f"index_{target}", "index_x_driver"]
+def count_features(target: str, total: str = "count", driver: str = "driver"
+                   ) -> tuple[list[str], list[str]]:
+    """Inputs of a target's count part and of its zero part, by role.
+
+    A target's own index drives the count, together with the year's history and with how the index
+    plays with the driver and the season; season and driver decide the zeros, and for an outcome also
+    its own index.
+    """
+    index = "monthly_index" if target == total else f"index_{target}"
+    season = [f"month_{wave}" for wave in ("sin", "cos")]
+    with_driver, *with_season = (f"index_x_{c}" for c in (driver, *season))
+    history = ["cumulative_ytd", "index_momentum", f"actual_{total}_lag1"]
+    zeros = [*season, driver] + ([] if target == total else [index, with_driver])
+    return [f"{index}_log", with_driver, *with_season, *history], zeros

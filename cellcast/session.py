@@ -7,11 +7,7 @@ from pyspark.sql import SparkSession
 # Everything here can be overridden by the cluster's own configuration.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.parquet.compression.codec": "snappy",
 }
 
 

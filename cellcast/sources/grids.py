@@ -27,34 +27,34 @@ def explode_grid(df: DataFrame, axes: Mapping[str, Column], values: Mapping[str,
     """One row per cell of dense array blocks.
 
     ``axes`` maps an output coordinate to its array column, slowest-varying first; ``values`` maps
-    an output measure to the array column flattened in that order. Cells where any measure or
-    coordinate is null or NaN are dropped before the rows are generated, so a sparse block costs
-    what it holds. The block's other columns are limited to ``keep``.
+    an output measure to the array column flattened in that order. One array is exploded with its
+    positions and streams through the filter: cells where any measure or coordinate is null or NaN
+    are dropped before anything else is kept of them, and no array of rows is built for a block. The
+    other measures and the coordinates are looked up by position. A block whose measures differ in
+    length raises. The block's other columns are limited to ``keep``.
     """
-    first = F.col(next(iter(values.values())))
-    strides: dict[str, Column] = {}
+    sources = list(values.values())
+    even = F.lit(True)
+    for other in sources[1:]:
+        even = even & (F.size(F.col(other)) == F.size(F.col(sources[0])))
+    first = F.when(even, F.col(sources[0])).otherwise(
+        F.raise_error(F.lit(f"arrays of different length among {', '.join(sources)}")))
+    cells = df.select("*", F.posexplode(first).alias("_at", "_first"))
+    measures = {out: (F.col("_first") if src == sources[0] else F.get(F.col(src), F.col("_at"))
+                      ).cast("double") for out, src in values.items()}
+    coordinates: dict[str, Column] = {}
     stride: Column = F.lit(1)
     for name in reversed(list(axes)):
-        strides[name] = stride
+        coordinates[name] = F.get(axes[name], (F.floor(F.col("_at") / stride)
+                                               % F.size(axes[name])).cast("int"))
         stride = stride * F.size(axes[name])
-
-    def cell(_, i: Column) -> Column:
-        coords = [
-            F.get(axes[n], (F.floor(i / strides[n]) % F.size(axes[n])).cast("int")).alias(n)
-            for n in axes]
-        measures = [F.get(F.col(src), i).cast("double").alias(out) for out, src in values.items()]
-        return F.struct(*coords, *measures)
-
-    def complete(row: Column) -> Column:
-        ok = F.lit(True)
-        for n in axes:
-            ok = ok & row.getField(n).isNotNull()
-        for n in values:
-            ok = ok & row.getField(n).isNotNull() & ~F.isnan(row.getField(n))
-        return ok
-
-    cells = F.filter(F.transform(first, cell), complete)
-    return df.select(*keep, F.inline(cells))
+    complete = F.lit(True)
+    for column in measures.values():
+        complete = complete & column.isNotNull() & ~F.isnan(column)
+    for column in coordinates.values():
+        complete = complete & column.isNotNull()
+    return cells.filter(complete).select(
+        *keep, *[coordinates[n].alias(n) for n in axes], *[c.alias(n) for n, c in measures.items()])
 
 
 def harmonise(df: DataFrame, aliases: Mapping[str, Sequence[str]] = GRID_ALIASES,

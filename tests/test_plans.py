@@ -133,14 +133,24 @@ def test_forecast_stack_and_skips(spark):
     assert report["annual"].count() == 1 and report["bias"].count() == 1
 
 
-def test_forecast_failure_of_one_target_is_recorded(spark, monkeypatch):
+def test_forecast_failure_of_one_target_is_recorded(spark):
+    """A target without a single value admits no model; one with negative counts does."""
     df, _ = monthly_features(month_table(spark))
+    df = df.withColumns({"actual_JP": F.lit(None).cast("int"),
+                         "actual_VN": F.when(F.col("month") == 5, -3).otherwise(F.col("actual_VN"))})
+    df = df.withColumn("index_JP", F.col("index_VN")).withColumn("index_JP_log", F.col("index_VN_log"))
+    out = forecast.forecast(df, ["driver"], ("count", "JP", "VN"), start=2005, end=2005, rounds=1)
+    assert list(out.failed) == ["JP"] and set(out.models) == {"count", "VN"}
+    assert out.months.filter("pred_VN < 0 OR isnan(pred_VN)").count() == 0
 
-    def fit(rows, target, *_):
-        if target == "count":
-            raise ArithmeticError("no")
-        return forecast.TargetModel(None, forecast.LogLinear(["driver"], [0.0], 0.0), None)
+
+def test_forecast_raises_what_says_nothing_about_the_rows(spark, monkeypatch):
+    df, _ = monthly_features(month_table(spark))
+
+    def fit(*_):
+        raise RuntimeError("an executor was lost")
 
     monkeypatch.setattr(forecast, "fit_target", fit)
-    out = forecast.forecast(df, ["driver"], ("count", "VN"))
-    assert list(out.failed) == ["count"] and out.months.first().pred_VN == pytest.approx(1.0)
+    with pytest.raises(RuntimeError):
+        forecast.forecast(df, ["driver"], ("count",))
+

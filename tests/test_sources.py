@@ -18,6 +18,13 @@ def test_explode_grid_order_and_missing(spark):
         (1, 10.0, 1.0, 1.0), (1, 10.0, 2.0, 2.0), (1, 20.0, 1.0, 4.0), (1, 20.0, 3.0, 6.0)]
 
 
+def test_explode_grid_refuses_measures_of_different_length(spark):
+    df = spark.sql("SELECT array(0D, 1D) lat, array(5D) lon, array(1D, 2D) a, array(3D) b")
+    out = grids.explode_grid(df, {"lat": F.col("lat"), "lon": F.col("lon")}, {"a": "a", "b": "b"})
+    with pytest.raises(Exception, match="different length"):
+        out.collect()
+
+
 def test_explode_grid_several_measures(spark):
     df = spark.createDataFrame([([0.0], [5.0, 6.0], [1.0, 2.0], [3.0, float("nan")])],
                                "lat array<double>, lon array<double>, a array<double>, b array<double>")
