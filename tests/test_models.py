@@ -11,6 +11,7 @@ from cellcast.operators.aggregates import feature_means
 from cellcast.operators.batches import score_batches
 from cellcast.operators.counts import fit_zero_inflated, log_gamma, predict_zero_inflated
 from cellcast.operators.sampling import temporal_split
+from cellcast.operators.seasonal import fit_seasonal_poisson, poisson_ridge, predict_seasonal
 
 
 def brute_ridge(x, y, alpha):
@@ -192,13 +193,26 @@ def test_tweedie_and_seasonal_fits(spark):
     pred = models.predict_counts(df, models.fit_tweedie(df, ["x"], "y"), ["x"], "pred")
     lows = pred.groupBy("x").agg(F.avg("pred").alias("p")).orderBy("x").collect()
     assert all(a.p < b.p for a, b in zip(lows, lows[1:]))
-    fits = models.fit_seasonal_poisson(df.filter("month >= 5"), ["x"], "y", folds=2, points=2)
-    assert set(fits) == {"peak"}
-    out = models.predict_seasonal(df, fits, ["x"], "pred").collect()
+    fits = fit_seasonal_poisson(df.filter("month >= 5"), ["x"], "y")
+    assert set(fits) == {"peak"} and abs(fits["peak"].coefficients[0] - 0.3) < 0.1
+    out = predict_seasonal(df, fits, "pred").collect()
     assert len(out) == 72 and {r.pred for r in out if r.month < 5} == {0.0}
     assert min(r.pred for r in out) >= 0.0
 
 
+def test_poisson_ridge_solves_its_equations():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3)) * [1, 10, 0.1] + [0, 5, 0]
+    y = rng.poisson(np.exp(0.5 + 0.4 * x[:, 0])).astype(float)
+    for penalty in (1e-4, 1.0, 1e4):
+        beta, settled = poisson_ridge(x, y, penalty)
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        mu = np.exp(beta[0] + x @ beta[1:])
+        slope = z.T @ (mu - y) / len(y) + penalty * beta[1:] * x.std(axis=0)
+        assert settled and abs((mu - y).mean()) < 1e-4 and np.abs(slope).max() < 1e-4
+    assert np.abs(beta[1:] * x.std(axis=0)).max() < 1e-3
+
+
 def test_penalty_grid():
     grid = models.penalty_grid()
     assert len(grid) == 30 and grid[0] == pytest.approx(1e-4) and grid[-1] == pytest.approx(1e4)
