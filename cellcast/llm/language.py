@@ -21,7 +21,7 @@ SMOOTHING = 0.5
 EVIDENCE = 50
 MAX_LANGUAGES = 1000
 # Matrix cells gathered at once while a group of texts is scored.
-_GATHER = 1 << 22
+_GATHER = 1 << 19
 
 
 def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +150,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text",
              lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its posterior (0 to 1) as two more columns.
 
-    Null texts and texts without a letter get ``und`` and 0. Whole texts are read, in groups of about
-    a million characters. An existing column of either name is replaced.
+    Null texts and texts without a letter get ``und`` and 0. Whole texts are read, in groups of
+    131,072 characters. An existing column of either name is replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     result = StructType([StructField("lang", StringType()), StructField("p", DoubleType())])

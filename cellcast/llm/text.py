@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Characters worked on at once.
-GROUP_CHARS = 1 << 20
+# Characters worked on at once: arrays over them stay in the cache, and workers small.
+GROUP_CHARS = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.arange(256)

@@ -141,7 +141,7 @@ _FIXED = {word: (symbol, SEED_WEIGHT if symbol >= INSULT else 0.0)
 
 
 def matches(text: str | None, symbols: _Symbols) -> np.ndarray:
-    """Summed weights of a text's matched clauses by category, then its words. A text of over a million
+    """Summed weights of a text's matched clauses by category, then its words. A text of over 131,072
     characters is read in pieces cut at white space."""
     sums = np.zeros(len(CATEGORIES) + 1)
     for piece in pieces((text or "").lower()):
