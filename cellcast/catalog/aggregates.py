@@ -8,7 +8,6 @@ from cellcast.catalog.registry import query
 from cellcast.catalog.scalars import r6
 from cellcast.functions.dates import with_year_month
 from cellcast.functions.features import classify_phase, split_label
-from cellcast.functions.grid import snap
 from cellcast.operators import aggregates as agg
 from cellcast.operators.joins import attach_outcome, attach_transition, join_month_index
 
