@@ -20,6 +20,8 @@ TIERS = (4096, 512, 64, 1)
 # Documents of a first block, and residuals that meet in a block of the next level.
 BLOCK = 4096
 FAN_IN = 256
+# Keys that the rows of one source are spread over in a join by source.
+SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS,
@@ -110,6 +112,19 @@ def _uniform(seed: int, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
 
 
+def _with_source(rows: DataFrame, by_source: DataFrame) -> DataFrame:
+    """``rows`` (with ``key`` and ``source``) with the columns of ``by_source``, one row per source.
+
+    Rows of a source go to ``SALTS`` keys by their own key, so that the source of a third of all rows
+    is no single task; the other side has that many rows per source.
+    """
+    copies = by_source.withColumnRenamed("source", "_s").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("_own", F.pmod(F.col("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, (F.col("_own") == F.col("_salt")) & F.col("source").eqNullSafe(
+        F.col("_s"))).drop("_s", "_salt", "_own")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES,
         seed: int = 42, id_column: str = "doc_id", text_column: str = "text",
         source_column: str = "source", size: Column | None = None) -> DataFrame:
@@ -145,8 +160,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = M
     for k in reversed(range(len(TIERS))):
         tier = F.when(F.col("size") >= TIERS[k], k).otherwise(tier)
     exact = F.col("n") * F.least(rate, F.lit(float(max_copies)))
-    planned = units.join(targets, units["source"].eqNullSafe(targets["source"])).drop(
-        targets["source"]).withColumns({"tier": tier, "whole": F.floor(exact + 1e-12)}).withColumn(
+    planned = _with_source(units, targets).withColumns(
+        {"tier": tier, "whole": F.floor(exact + 1e-12)}).withColumn(
         "part", F.greatest(F.lit(0.0), F.round(exact - F.col("whole"), 12)))
     planned = checkpointed(planned)
     tiers = planned.where((F.col("part") > 0) & (F.col("tier") < len(TIERS))).groupBy(
@@ -162,8 +177,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = M
                          F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         rows = planned.where((F.col("tier") == k) & (F.col("part") > 0)).select(
             "key", "source", "size", "part")
-        rows = rows.join(plan.withColumnRenamed("source", "_s"),
-                         F.col("source").eqNullSafe(F.col("_s")))
+        rows = _with_source(rows, plan)
         shift = F.col("part") + F.col("left") / F.col("words")
         rows = rows.withColumn("p", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), shift)), 12))
         block = F.pmod(F.xxhash64(F.lit(seed), "key"),
