@@ -110,7 +110,7 @@ def test_odd_documents(spark, odd_documents, clashing):
         rows = quality.score_quality(docs, quality.fit_quality(sample, quality.fit_vectors(docs))).collect()
         assert len(rows) == odd_documents.count() and all(0 <= r.score <= 1 for r in rows)
         empty = {r.score for r in rows if r.doc_id in (1, 2, 3)}
-        assert len(empty) == 1
+        assert max(empty) - min(empty) < 1e-9
     assert quality.fit_vectors(docs.limit(0)).matrix.any() == False  # noqa: E712
 
 
