@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -17,6 +18,10 @@ SIGMA = 2.0
 THRESHOLD = 0.5
 # Share of a line's text inside links from which it counts as a menu.
 LINKED = 0.5
+# What a line inside an article or main element has over the same line outside.
+BONUS = 1.2
+# Share of the leading region's ratio that another region reaches to be content too.
+LIKE_LEAD = 1 / 3
 
 # Elements whose content is never the article, elements that start a line, containers.
 DROPPED = frozenset("nav header footer aside form script style noscript template svg canvas iframe "
@@ -26,6 +31,7 @@ LINES = frozenset("p div section article main body html h1 h2 h3 h4 h5 h6 ul ol
                   "th thead tbody tfoot caption blockquote pre figure figcaption address hr details "
                   "summary center".split())
 CONTAINERS = frozenset("div section article main body html td details center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Parts of class, id and role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion "
                   "banner sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header "
@@ -39,11 +45,14 @@ _MARK_PARTS = re.compile(r"[a-z]+")
 
 @dataclass
 class Line:
-    """One block of text: its region, tags met and characters inside links."""
+    """One block of text: its container, its article (0 outside), whether an article or main element
+    holds it, tags met and characters inside links."""
 
     text: list[str]
     region: int
-    article: bool
+    article: int
+    inside: bool
+    heading: bool = False
     tags: int = 0
     linked: int = 0
 
@@ -66,9 +75,12 @@ class _Reader(HTMLParser):
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool]] = []
         self.containers: list[int] = [0]
+        # Container around each container, by number, and whether it may be judged with that one.
+        self.parents: list[int] = [0]
+        self.plain: list[bool] = [False]
         self.articles: list[int] = []
-        self.dropped = self.links = self.count = 0
-        self.line = Line([], 0, False)
+        self.dropped = self.links = self.count = self.inside = 0
+        self.line = Line([], 0, 0, False)
 
     def break_line(self) -> None:
         if self.line.text:
@@ -76,9 +88,9 @@ class _Reader(HTMLParser):
         self.line = self.new_line()
 
     def new_line(self) -> Line:
-        """A line of the outermost article, or else of the innermost container."""
-        return Line([], (self.articles or self.containers)[0 if self.articles else -1],
-                    bool(self.articles))
+        """A line of the innermost container."""
+        return Line([], self.containers[-1], self.articles[-1] if self.articles else 0,
+                    self.inside > 0)
 
     def handle_starttag(self, tag, attrs):
         if tag in UNCLOSED:
@@ -95,14 +107,19 @@ class _Reader(HTMLParser):
         self.dropped += drops
         if tag in CONTAINERS:
             self.count += 1
+            self.parents.append(self.containers[-1])
+            self.plain.append(tag not in ("article", "main", "body", "html"))
             self.containers.append(self.count)
-        if tag in ("article", "main"):
+        if tag == "article":
             self.articles.append(self.count)
+        self.inside += tag in ("article", "main")
         if tag == "a":
             self.links += 1
         if tag in CONTAINERS or drops:
             self.line = self.new_line()
         self.line.tags += 1
+        if tag in HEADINGS:
+            self.line.heading = True
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -124,12 +141,13 @@ class _Reader(HTMLParser):
             self.dropped -= drops
             if name in CONTAINERS:
                 self.containers.pop()
-            if name in ("article", "main"):
+            if name == "article":
                 self.articles.pop()
+            self.inside -= name in ("article", "main")
             if name == "a":
                 self.links -= 1
         fresh = self.new_line()
-        self.line.region, self.line.article = fresh.region, fresh.article
+        self.line.region, self.line.article, self.line.inside = fresh.region, fresh.article, fresh.inside
         self.line.tags += 1
 
     def handle_data(self, data):
@@ -147,14 +165,32 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, radius, mode="symmetric"), kernel / kernel.sum(), mode="valid")
 
 
+def judged_with(regions: list[int], parents: list[int], plain: list[bool]) -> list[int]:
+    """The region each line is judged with: its container, or the one around it while a plain container
+    holds one line only (a ``div`` or cell in place of a paragraph)."""
+    held = Counter(regions)
+    moved: dict[int, int] = {}
+    for region in sorted(held, reverse=True):
+        at = region
+        while plain[at] and held[at] == 1:
+            at = parents[at]
+            if at in held:
+                break
+        moved[region] = at
+    return [moved[r] for r in regions]
+
+
 def main_text(html: str | None) -> str:
     """Blocks of the article, joined by a line break; empty if there is none.
 
-    Every block is a line with a ratio of characters to tags. The smoothed ratios are cut at a share
-    of their standard deviation; lines above it are content. A region is the container of a content
-    line, and all its own lines belong to it, short ones too; an ``article`` or ``main`` is one region
-    with all it holds, and where there is one, nothing outside it is content. Lines that are mostly
-    links belong to no region outside an article. White space inside a block becomes one space.
+    Every block is a line with a ratio of characters to tags, higher by a bonus inside an ``article`` or
+    ``main``; the tags decide nothing else about a line. Lines that are mostly links are menus, inside an
+    article too, and count as 0; linked headings also count as 0 but stay with their region. Lines whose
+    smoothed ratio reaches a share of its standard deviation are content. Regions are containers. The one
+    with most content leads; it and every region that has content and, over its text, a ratio like the
+    leader's are chosen with all their lines, short ones too. A content line of another region
+    joins a chosen region of its own article; outside articles, if it is a heading or chosen lines lie
+    on both sides of it. White space inside a block becomes one space.
     """
     reader = _Reader()
     reader.feed(html or "")
@@ -162,16 +198,36 @@ def main_text(html: str | None) -> str:
     reader.break_line()
     lines = [(line, _SPACE.sub(" ", "".join(line.text)).strip()) for line in reader.lines]
     lines = [(line, text) for line, text in lines if text]
-    if any(line.article for line, _ in lines):
-        lines = [(line, text) for line, text in lines if line.article]
     if not lines:
         return ""
-    ratios = np.array([len(text) / max(1, line.tags) for line, text in lines])
-    menu = np.array([not line.article and line.linked >= LINKED * len(text) for line, text in lines])
-    level = smoothed(np.where(menu, 0.0, ratios))
-    content = (level >= THRESHOLD * level.std()) & ~menu
-    chosen = {line.region for (line, _), c in zip(lines, content) if c}
-    return "\n".join(text for (line, text), m in zip(lines, menu) if line.region in chosen and not m)
+    size = np.array([len(text) for _, text in lines], dtype=np.float64)
+    linked = np.array([line.linked >= LINKED * len(text) for line, text in lines])
+    menu = linked & ~np.array([line.heading for line, _ in lines])
+    ratios = np.array([len(text) / max(1, line.tags) * (BONUS if line.inside else 1.0)
+                       for line, text in lines])
+    score = np.where(linked, 0.0, ratios)
+    level = smoothed(score)
+    least = THRESHOLD * level.std()
+    content = (level >= least) & ~linked
+    if not content.any():
+        return ""
+    own = [line.region for line, _ in lines]
+    names, region = np.unique(judged_with(own, reader.parents, reader.plain), return_inverse=True)
+    text_size = np.bincount(region, size * ~menu)
+    density = np.bincount(region, size * score * ~menu) / np.maximum(text_size, 1.0)
+    mass = np.bincount(region, size * level * content)
+    core = (np.bincount(region, content) > 0) & (
+        density >= max(least, LIKE_LEAD * density[mass.argmax()]))
+    core[mass.argmax()] = True
+    article = np.array([line.article for line, _ in lines])
+    # Lines judged with a container further out are not free to join outside articles: they must be content.
+    chosen = core[region] & ~menu & (content | (names[region] == own) | (article > 0))
+    firm = np.flatnonzero(chosen)
+    place = np.arange(len(lines))
+    between = (place > firm[0]) & (place < firm[-1]) | np.array([line.heading for line, _ in lines])
+    joins = np.where(article > 0, np.isin(article, article[firm]), between)
+    chosen |= (level >= least) & ~menu & joins
+    return "\n".join(text for (_, text), c in zip(lines, chosen) if c)
 
 
 @F.pandas_udf(StringType())
@@ -181,5 +237,5 @@ def _texts(pages: pd.Series) -> pd.Series:
 
 def extract_text(pages: DataFrame, html_column: str = "html", name: str = "text") -> DataFrame:
     """``pages`` with the main text of each as one more column, in one pass without a shuffle. Null and
-    empty pages and pages without an article give an empty text. An existing column is replaced."""
+    empty pages and pages without a line of text give an empty text. An existing column is replaced."""
     return pages.withColumn(name, _texts(F.col(html_column)))

@@ -25,6 +25,30 @@ def test_regions_by_text_to_tag_ratio():
     assert text.count("\n") == 6 and text.endswith("Short.") and "link" not in text
 
 
+def test_teasers_marked_as_articles_do_not_hide_the_text():
+    cards = "".join(f"<article><h3><a href=x>Card {k}</a></h3><p>Short teaser {k}.</p></article>" for k in range(6))
+    body = "".join(f"<p>{PARAGRAPH * 3}</p>" for _ in range(6)) + "<p>Short.</p>"
+    for html in (f"<body><div>{cards}</div><div>{body}</div></body>",
+                 f"<body><main><div>{body}</div>{cards}</main></body>",
+                 f"<body><main>{cards}<article><div><h1>Title</h1></div><div>{body}</div></article></main>"):
+        text = pages.main_text(html)
+        assert text.endswith("Short.") and text.count(PARAGRAPH.strip()) == 18 and "teaser" not in text
+        assert text.startswith("Title") == ("<h1>" in html) and "Card" not in text
+
+
+def test_link_list_inside_an_article():
+    body = "".join(f"<p>{PARAGRAPH * 3}</p>" for _ in range(4))
+    links = "".join(f"<li><a href=x>link {k}</a></li>" for k in range(12))
+    text = pages.main_text(f"<article><h1><a href=x>Title</a></h1>{body}<ul>{links}</ul><p>Last.</p></article>")
+    assert text.startswith("Title\n") and text.endswith("Last.") and "link" not in text
+
+
+def test_paragraphs_in_containers_of_their_own():
+    body = "".join(f"<div>{PARAGRAPH * n}</div>" for n in (1, 6, 2, 7, 1))
+    text = pages.main_text(f"<body><div id=x><h2>Title</h2>{body}</div><div><p>One.<p>Two.</div>")
+    assert text.startswith("Title") and text.count("\n") == 5 and "One." not in text
+
+
 def test_smoothing_is_a_weighted_mean():
     import numpy as np
 
