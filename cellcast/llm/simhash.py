@@ -136,13 +136,19 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = checkpointed(docs.select(
         F.col(id_column), row_key(id_column, text_column).alias("row"),
         _fingerprints(F.col(text_column)).alias("fp")))
-    distinct = rows.groupBy("fp").agg(F.min(id_column).alias("least"))
-    linked = components(checkpointed(link_fingerprints(distinct.select("fp"))))
-    rooted = distinct.join(linked, distinct["fp"] == linked["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    links = checkpointed(link_fingerprints(rows.select("fp").distinct()))
+    return with_components(rows, links, "fp", id_column)
+
+
+def with_components(rows: DataFrame, links: DataFrame, value: str, id_column: str = "doc_id") -> DataFrame:
+    """``rows`` with ``component_id``, the smallest id of all rows whose ``value`` is linked to theirs."""
+    distinct = rows.groupBy(value).agg(F.min(id_column).alias("least"))
+    linked = components(links)
+    rooted = distinct.join(linked, distinct[value] == linked["node"], "left").select(
+        value, "least", F.coalesce("root", value).alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_value = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(by_value, "fp")
+    by_value = rooted.join(least, "root").select(value, "component_id")
+    return rows.join(by_value, value)
 
 
 def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
@@ -152,8 +158,14 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     Repeated rows are one document. Rows without an id that are linked to no id are grouped by equal
     fingerprints. The texts are shuffled once, by their key.
     """
-    found = near_duplicates(docs, id_column, text_column)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col("fp")))
+    return first_of_components(docs, near_duplicates(docs, id_column, text_column), "fp", id_column,
+                               text_column)
+
+
+def first_of_components(docs: DataFrame, found: DataFrame, value: str, id_column: str = "doc_id",
+                        text_column: str = "text") -> DataFrame:
+    """The row of ``docs`` that stays of each component in ``found``; see ``drop_near_duplicates``."""
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp "), F.col(value)))
     key = free_name(docs, "row")
     stay = found.groupBy(group.alias("group")).agg(
         F.min(F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"),
