@@ -41,6 +41,13 @@ WORDS = {
     THREAT: "kill kills murder hurt beat stab shoot burn destroy die "
             "töten umbringen schlagen verbrennen tuer frapper brûler matar golpear quemar",
 }
+# Insults and threats that are common words of another language (German "die", Spanish
+# "con") count only in a clause that holds one of these words of their own language.
+AMBIGUOUS = {
+    "die": frozenset("you your yours yourself u he she they him her them this that these those would "
+                     "shall should gonna going must wanna the to and let".split()),
+    "con": frozenset("toi ton vous votre il elle ils elles ce quel quelle pauvre gros petit".split()),
+}
 SEED_WEIGHT = 3.0
 # Lengths of learned word beginnings; a word must be longer than the beginning.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -130,9 +137,10 @@ class Lexicon:
             return BREAK, 0.0
         weight = max([self.words.get(word, 0.0),
                       *(self.beginnings.get(word[:n], 0.0) for n in PREFIXES if len(word) > n)])
-        if weight > 0:
-            return INSULT, weight
-        return _FIXED.get(word, (OTHER, 0.0))
+        symbol, fixed = _FIXED.get(word, (OTHER, 0.0))
+        if symbol == OTHER:
+            return (INSULT, weight) if weight > 0 else (OTHER, 0.0)
+        return symbol, max(fixed, weight) if symbol >= INSULT else fixed
 
 
 _FIXED = {word: (symbol, SEED_WEIGHT if symbol >= INSULT else 0.0)
@@ -140,12 +148,27 @@ _FIXED = {word: (symbol, SEED_WEIGHT if symbol >= INSULT else 0.0)
           for word in WORDS[symbol].split()}
 
 
+def _settled(tokens: list[str], read: list[tuple[int, float]]) -> list[tuple[int, float]]:
+    """``read`` with ambiguous words of clauses in another language made ordinary words."""
+    start = 0
+    for end in (*(k for k, (symbol, _) in enumerate(read) if symbol == BREAK), len(read)):
+        clause = tokens[start:end]
+        for k, word in enumerate(clause, start):
+            if word in AMBIGUOUS and AMBIGUOUS[word].isdisjoint(clause):
+                read[k] = OTHER, 0.0
+        start = end + 1
+    return read
+
+
 def matches(text: str | None, symbols: _Symbols) -> np.ndarray:
     """Summed weights of a text's matched clauses by category, then its words. A text of over 131,072
     characters is read in pieces cut at white space."""
     sums = np.zeros(len(CATEGORIES) + 1)
     for piece in pieces((text or "").lower()):
-        read = [symbols[w] for w in _TOKEN.findall(piece)]
+        tokens = _TOKEN.findall(piece)
+        read = [symbols[w] for w in tokens]
+        if not AMBIGUOUS.keys().isdisjoint(tokens):
+            read = _settled(tokens, read)
         sums[-1] += len(read)
         if not read or max(read)[0] < INSULT:
             continue

@@ -52,6 +52,16 @@ def test_grammar_reads_clauses():
     assert read(None) == {} and read("") == {}
 
 
+def test_words_of_another_language_and_learned_weights():
+    symbols = toxicity._Symbols(toxicity.Lexicon({"you": 5.0, "not": 5.0, "kill": 5.0}, {"will": 5.0}))
+    assert symbols["you"][0] == toxicity.TARGET and symbols["not"][0] == toxicity.NEGATION
+    assert symbols["kill"] == (toxicity.THREAT, 5.0)
+    for text in ("er sieht die Katze und sie auch", "ella va con ellos"):
+        assert not toxicity.matches(text, symbols)[:-1].any()
+    assert toxicity.matches("you should die", symbols)[:-1].any()
+    assert toxicity.matches("quel con", symbols)[:-1].any()
+
+
 def test_composition_is_the_product():
     table, states = toxicity.composed()
     for at, parts in enumerate(states):
