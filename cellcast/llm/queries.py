@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import (decontaminate, language, mixing, neighbours, pages, quality, samples,
+from cellcast.llm import (decontaminate, language, mixing, neighbours, pages, quality, repeats, samples,
                           sharding, simhash, toxicity, urls)
 from cellcast.llm.text import remainder_of_id
 
@@ -85,8 +85,33 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("removed").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_toxicity, op2_decontaminate, op3_mix, op4_neighbours, op5_shard, op6_simhash, op7_language,
-    op8_pages, op9_urls, op10_quality)}
-
-ORACLE_SQL: dict[str, str] = {}
+    op8_pages, op9_urls, op10_quality, op11_repeats)}
+
+REPEATS_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT k, i, sha256(b[i:i + 199]) AS s
+  FROM (SELECT k, b, unnest(generate_series(1, octet_length(b) - 199)) AS i FROM texts)),
+often AS (SELECT s FROM starts GROUP BY s HAVING count(*) > 1),
+hits AS (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM starts SEMI JOIN often USING (s)),
+spans AS (SELECT k, min(i) AS low, max(i) + 200 AS high
+  FROM (SELECT *, sum(CASE WHEN before + 200 >= i THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS g
+        FROM hits) GROUP BY k, g),
+cuts AS (SELECT k, low, coalesce(lag(high) OVER (PARTITION BY k ORDER BY low), 1) AS after, high,
+  lead(low) OVER (PARTITION BY k ORDER BY low) AS next FROM spans),
+kept AS (SELECT k, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans,
+  string_agg(hex(b[after:low - 1]) || CASE WHEN next IS NULL THEN hex(b[high:]) ELSE '' END, '' ORDER BY low) AS h
+  FROM cuts JOIN texts USING (k) GROUP BY k)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(coalesce(unhex(h), b)) AS kept_sha256
+FROM texts LEFT JOIN kept USING (k)"""
+
+ORACLE_SQL: dict[str, str] = {"op11_repeats": REPEATS_SQL}

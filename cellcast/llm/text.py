@@ -66,7 +66,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of them."""
     size = 1 << max(16, (n - 1).bit_length())
     if size not in _powers:
@@ -88,7 +88,7 @@ def _hash_bytes(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.nda
     edges = np.flatnonzero(np.diff(inside))
     word = inside[edges[:-1] + 1] != 0 if len(edges) else np.zeros(0, dtype=bool)
     starts, ends = edges[:-1][word], edges[1:][word]
-    power, inverse = _power_tables(len(data) + 1)
+    power, inverse = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * inverse[starts]), starts
