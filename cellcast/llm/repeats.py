@@ -96,14 +96,14 @@ def runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int, ke
     return least[first], name, first, n, twice
 
 
-def _parts(texts: pd.Series, length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Texts and pieces of long ones as (row, offset, bytes), grouped to about ``PART_STARTS`` bytes."""
+def _parts(texts: pd.Series, length: int, limit: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts and pieces of long ones as (row, offset, bytes), grouped to about ``limit`` bytes."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
     for row, text in enumerate(texts):
-        for offset in range(0, len(text) - length + 1, PART_STARTS):
-            piece = text[offset:offset + PART_STARTS + length - 1]
-            if held and size + len(piece) > PART_STARTS:
+        for offset in range(0, len(text) - length + 1, limit):
+            piece = text[offset:offset + limit + length - 1]
+            if held and size + len(piece) > limit:
                 yield held
                 held, size = [], 0
             held.append((row, offset, piece))
@@ -112,12 +112,12 @@ def _parts(texts: pd.Series, length: int) -> Iterator[list[tuple[int, int, bytes
         yield held
 
 
-def _places(units: DataFrame, length: int, key_bytes: int) -> DataFrame:
+def _places(units: DataFrame, length: int, key_bytes: int, limit: int) -> DataFrame:
     """The runs of all units (``row``, ``copies``, ``bytes``)."""
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, copies = batch["row"].to_numpy(), batch["copies"].to_numpy()
-            for part in _parts(batch["bytes"], length):
+            for part in _parts(batch["bytes"], length, limit):
                 sizes = np.array([len(piece) for _, _, piece in part])
                 ends = np.cumsum(sizes)
                 data = np.frombuffer(b"".join(piece for _, _, piece in part), dtype=np.uint8)
@@ -171,7 +171,7 @@ def previous_factors(suffixes: np.ndarray, group: np.ndarray) -> tuple[np.ndarra
     return longest, source
 
 
-def _matches(length: int, keep_first: bool):
+def _matches(length: int, keep_first: bool, limit: int):
     def matched(rows: pd.DataFrame) -> pd.DataFrame:
         """Ranges of starts of whole groups that have an earlier match, or without ``keep_first`` any."""
         n = rows["n"].to_numpy(np.int64)
@@ -196,7 +196,7 @@ def _matches(length: int, keep_first: bool):
                              "n": (high - low).astype(np.int32)})
 
     def of_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole groups of rows sorted by key, about ``PART_STARTS`` starts at once."""
+        """Whole groups of rows sorted by key, about ``limit`` starts at once."""
         held: list[pd.DataFrame] = []
         size = 0
         for batch in batches:
@@ -206,12 +206,12 @@ def _matches(length: int, keep_first: bool):
             for end in [*edges, len(batch)]:
                 # The rows from ``begin`` on are looked at again once their group may be complete.
                 new_group = end < len(batch)
-                if new_group and size + weight[end - 1] - (weight[begin - 1] if begin else 0) >= PART_STARTS:
+                if new_group and size + weight[end - 1] - (weight[begin - 1] if begin else 0) > limit:
                     yield matched(pd.concat([*held, batch.iloc[begin:end]], ignore_index=True))
                     held, size, begin = [], 0, end
             if begin < len(batch):
                 rest = batch.iloc[begin:]
-                if held and size >= PART_STARTS and held[-1]["key"].iloc[-1] != rest["key"].iloc[0]:
+                if held and size > limit and held[-1]["key"].iloc[-1] != rest["key"].iloc[0]:
                     yield matched(pd.concat(held, ignore_index=True))
                     held, size = [], 0
                 held.append(rest)
@@ -222,12 +222,12 @@ def _matches(length: int, keep_first: bool):
 
 
 def _repeated(units: DataFrame, order: DataFrame | None, length: int, keys: list[int], keep_first: bool,
-              group_starts: int) -> DataFrame:
+              group_starts: int, part_starts: int) -> DataFrame:
     """Ranges (``row``, ``low``, ``n``) of the starts of ``units`` that have another, or an earlier, match.
 
     ``order`` gives each unit's place (``row``, ``at``) where the first match is to be kept.
     """
-    places = _places(units, length, keys[0])
+    places = _places(units, length, keys[0], part_starts)
     known = checkpointed(places.groupBy("key").agg(
         F.sum("copies").alias("_c"), F.min("seg").alias("_low"), F.max("seg").alias("_high"),
         F.max("looped").alias("_twice")).where("_c > 1 OR _twice").select(
@@ -256,23 +256,23 @@ def _repeated(units: DataFrame, order: DataFrame | None, length: int, keys: list
     contested = segs.where("mixed")
     hot = checkpointed(contested.groupBy("key").agg(F.sum("n").alias("starts")).where(
         F.col("starts") > group_starts).select("key"))
-    texts = units.select("row", "bytes")
-    strings = lambda of: texts.join(of, "row").withColumn(
-        "bytes", F.substring("bytes", F.col("start").cast("int") + 1, F.col("n") + (length - 1)))
     any_hot = len(keys) > 1 and hot.limit(1).count() > 0
-    cold = contested.join(small(hot), "key", "left_anti") if any_hot else contested
-    near = strings(cold).select("key", "first", "row", "start", "n", "bytes").dropDuplicates(
-        ["key", "row", "start"]) if keep_first else strings(cold).select(
-        "key", "first", "row", "start", "n", "bytes")
-    ranges = ranges.unionByName(near.repartition("key").sortWithinPartitions("key", "first").drop(
-        "first").mapInPandas(_matches(length, keep_first), _RANGES))
+    strings = units.select("row", "bytes").join(contested, "row").withColumn(
+        "bytes", F.substring("bytes", F.col("start").cast("int") + 1, F.col("n") + (length - 1)))
+    if keep_first:
+        strings = strings.dropDuplicates(["key", "seg"])
+    if any_hot:
+        strings = checkpointed(strings)
+    cold = strings.join(small(hot), "key", "left_anti") if any_hot else strings
+    ranges = ranges.unionByName(cold.select("key", "first", "row", "start", "n", "bytes").repartition(
+        "key").sortWithinPartitions("key", "first").drop("first").mapInPandas(_matches(length, keep_first, part_starts), _RANGES))
     if any_hot:
-        inner = strings(contested.join(small(hot), "key", "left_semi")).select(
+        inner = strings.join(small(hot), "key", "left_semi").select(
             F.xxhash64("key", "seg").alias("unit"), "row", "start", "first", "copies", "bytes")
-        inner = checkpointed(inner.dropDuplicates(["unit"]))
         again = _repeated(inner.select(F.col("unit").alias("row"), "copies", "bytes"),
                           inner.select(F.col("unit").alias("row"), F.col("first").alias("at"))
-                          if keep_first else None, length, keys[1:], keep_first, group_starts)
+                          if keep_first else None, length, keys[1:], keep_first, group_starts,
+                          part_starts)
         ranges = ranges.unionByName(again.withColumnRenamed("row", "unit").join(
             inner.select("unit", "row", "start"), "unit").select(
             "row", (F.col("start") + F.col("low")).alias("low"), "n"))
@@ -304,7 +304,7 @@ def _cut(length: int):
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                    length: int = LENGTH, keep_first: bool = True,
-                   group_starts: int = GROUP_STARTS) -> DataFrame:
+                   group_starts: int = GROUP_STARTS, part_starts: int = PART_STARTS) -> DataFrame:
     """``docs`` with ``n_bytes``, ``removed`` (array of ``begin``, ``end``, in bytes of the UTF-8 text) and
     ``kept`` (the bytes that are left; a cut may lie inside a character).
 
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     units = docs.select(named.alias("row"), F.lit(1).cast("long").alias("copies"), texts.alias("bytes"))
     order = docs.select(named.alias("row"), F.col(id_column).alias("at")).dropDuplicates(
         ["row"]) if keep_first else None
-    ranges = _repeated(units, order, length, key_lengths(length), keep_first, group_starts)
+    ranges = _repeated(units, order, length, key_lengths(length), keep_first, group_starts, part_starts)
     by_row = ranges.groupBy(F.col("row").alias(row)).agg(F.collect_list(
         F.col("low") * (2 * RUN_STARTS) + F.col("n") - 1).alias(codes))
     joined = docs.withColumn(row, named).join(by_row, row, "left")

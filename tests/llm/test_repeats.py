@@ -49,11 +49,10 @@ def got(frame):
 
 @pytest.mark.parametrize("keep_first", [False, True])
 @pytest.mark.parametrize("group_starts", [1 << 17, 8])
-def test_against_all_strings(documents, keep_first, group_starts, monkeypatch):
-    monkeypatch.setattr(repeats, "PART_STARTS", 1 << 17 if group_starts > 8 else 64)
+def test_against_all_strings(documents, keep_first, group_starts):
     rows = corpus(1)
     found = got(repeats.remove_repeats(documents(rows), length=30, keep_first=keep_first,
-                                       group_starts=group_starts))
+                                       group_starts=group_starts, part_starts=group_starts * 8))
     want = sorted(brute(rows, 30, keep_first), key=lambda r: (r[0] is not None, r[0] or 0))
     assert found == want
     assert 0 < sum(bool(spans) for _, _, spans, _ in want) < len(want)
