@@ -8,7 +8,7 @@ from cellcast.catalog.registry import query
 from cellcast.catalog.scalars import r6
 from cellcast.functions.features import split_label
 from cellcast.operators import evaluate
-from cellcast.operators.linear import apply_knots
+from cellcast.operators.monotone import apply_knots
 
 def in_test():
     return F.col("year") >= 2000

@@ -13,6 +13,7 @@ from cellcast.operators import linear, models
 from cellcast.operators.aggregates import feature_means
 from cellcast.operators.batches import score_batches
 from cellcast.operators.counts import fit_zero_inflated, predict_zero_inflated
+from cellcast.operators.monotone import apply_knots
 from cellcast.operators.sampling import temporal_split
 from cellcast.operators.seasonal import fit_seasonal_poisson, predict_seasonal
 from cellcast.shared import checkpointed
@@ -96,7 +97,7 @@ SELECT l_orderkey, l_linenumber, ROUND(CASE WHEN prob <= 0.05 THEN 0 """ + " ".j
     for (x1, y1), (x2, y2) in zip(KNOTS, KNOTS[1:])) + """ ELSE 0.9 END, 6) AS calibrated FROM scores""")
 def _(t):
     knots = t.spark.createDataFrame(KNOTS, "x double, y double")
-    return linear.apply_knots(t.scores, knots, "prob").select(*KEY, r6("calibrated"))
+    return apply_knots(t.scores, knots, "prob").select(*KEY, r6("calibrated"))
 
 
 # Fixed coefficients of the linear scorer.

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,32 +163,6 @@ def targets_long(df: DataFrame, targets: Sequence[str], keep: Sequence[str],
     return df.select(*keep, F.inline(rows))
 
 
-def apply_knots(df: DataFrame, knots: DataFrame, score: str, out: str = "calibrated",
-                x: str = "x", y: str = "y", max_knots: int = 10_000) -> DataFrame:
-    """Piecewise linear map given by ``knots``, constant outside their range.
-
-    The knots become parameters of the plan: a calibration map has few, and a table larger than
-    ``max_knots`` is refused. Each row finds its segment by binary search.
-    """
-    points = knots.groupBy(F.col(x).cast("double").alias("x")).agg(
-        F.avg(F.col(y).cast("double")).alias("y")).limit(max_knots + 1).collect()
-    if not 0 < len(points) <= max_knots:
-        raise ValueError(f"a map needs 1 to {max_knots} knots")
-    points = sorted((p["x"], p["y"]) for p in points)
-    xs, ys = (F.lit([p[i] for p in points]) for i in (0, 1))
-    splits = [float("-inf"), *[p[0] for p in points], float("inf")]
-    s = F.col("_score")
-    found = Bucketizer(splits=splits, inputCol="_score", outputCol="_segment",
-                       handleInvalid="keep").transform(df.withColumn("_score", F.col(score).cast("double")))
-    high = F.least(F.col("_segment").cast("int"), F.lit(len(points) - 1))
-    low = F.greatest(F.col("_segment").cast("int") - 1, F.lit(0))
-    x0, x1, y0, y1 = F.get(xs, low), F.get(xs, high), F.get(ys, low), F.get(ys, high)
-    between = F.when(x1 > x0, y0 + (y1 - y0) * (s - x0) / F.nullif(x1 - x0, F.lit(0.0))).otherwise(y0)
-    value = F.when(s.isNull() | F.isnan(s), None).when(s <= points[0][0], points[0][1]).when(
-        s >= points[-1][0], points[-1][1]).otherwise(between)
-    return found.withColumn(out, value).drop("_score", "_segment")
-
-
 def score_logistic(df: DataFrame, coef: dict[str, float], intercept: float,
                    out: str = "prob") -> DataFrame:
     """Logistic score with fixed coefficients, as one expression."""

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (GeneralizedLinearRegression,
-                                   GeneralizedLinearRegressionModel, IsotonicRegression,
-                                   IsotonicRegressionModel)
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.functions.cleaning import clamp, impute_with
 from cellcast.functions.features import PROB_SOFT, soft_threshold
-from cellcast.shared import value_of
+from cellcast.operators.monotone import BLOCK_ROWS, apply_knots, isotonic_knots
+from cellcast.shared import checkpointed, value_of
 
 # Settings of the event classifier.
 MAX_DEPTH, STEP, ROUNDS, SEED = 8, 0.1, 500, 42
@@ -79,32 +79,25 @@ def importances(df: DataFrame, model: GBTClassificationModel,
     return df.sparkSession.createDataFrame(list(zip(names, gains)), "name string, gain double")
 
 
-def fit_calibrator(df: DataFrame, score: str = "raw_prob",
-                   label: str = "label") -> IsotonicRegressionModel:
-    """Monotone map of scores to event rates.
+@dataclass(frozen=True)
+class Calibrator:
+    """A monotone map of scores to event rates, as a table of knots ``(x, y)``."""
 
-    Equal scores are first merged into one weighted mean, which leaves the solution unchanged and
-    sends the solver distinct scores instead of rows.
-    """
-    merged = df.groupBy(F.col(score).alias("x")).agg(
-        F.avg(F.col(label).cast("double")).alias("label"),
-        F.count(F.lit(1)).cast("double").alias("weight"))
-    return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="weight").fit(merged)
+    knots: DataFrame
 
 
-def calibrate(df: DataFrame, model: IsotonicRegressionModel, score: str = "raw_prob",
-              out: str = "prob") -> DataFrame:
-    """Linear between knots, constant outside."""
-    return model.copy().setFeaturesCol(score).setPredictionCol(out).transform(df)
+def fit_calibrator(df: DataFrame, score: str = "raw_prob", label: str = "label",
+                   block_rows: int = BLOCK_ROWS) -> Calibrator:
+    """Monotone map of scores to event rates, pooled in blocks of distinct scores on the executors."""
+    return Calibrator(checkpointed(isotonic_knots(df, score, label, block_rows)))
 
 
-def knots_of(df: DataFrame, model: IsotonicRegressionModel) -> DataFrame:
-    """The calibrator's knots as ``(x, y)`` rows; ``df`` only supplies the session."""
-    pairs = [(float(a), float(b)) for a, b in zip(model.boundaries, model.predictions)]
-    return df.sparkSession.createDataFrame(pairs, "x double, y double")
+def calibrate(df: DataFrame, model: Calibrator, score: str = "raw_prob", out: str = "prob") -> DataFrame:
+    """Linear between knots, constant outside."""
+    return apply_knots(df, model.knots, score, out)
 
 
-def score(df: DataFrame, model: GBTClassificationModel, calibrator: IsotonicRegressionModel,
+def score(df: DataFrame, model: GBTClassificationModel, calibrator: Calibrator,
           features: Sequence[str], means: DataFrame, keys: Sequence[str],
           soft: float = PROB_SOFT) -> DataFrame:
     """Keys, calibrated probability and its soft threshold, for every row, on the executors."""

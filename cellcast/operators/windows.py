@@ -164,6 +164,7 @@ def running_totals(scores: DataFrame, cols: Sequence[str], keys: Sequence[str] =
     checkpointed first.
     """
     scores = checkpointed(scores)
+    blocks = max(2, blocks)
     cut = QuantileDiscretizer(numBuckets=blocks, inputCol=order, outputCol="_block",
                               relativeError=1.0 / (4 * blocks), handleInvalid="keep").fit(scores)
     blocked = cut.transform(scores).withColumn("_key", F.struct(F.lit(0), *keys))

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,18 +26,18 @@ class EventModel:
     """What scoring needs, and how well it did."""
 
     classifier: GBTClassificationModel
-    calibrator: IsotonicRegressionModel
+    calibrator: models.Calibrator
     means: DataFrame
     report: DataFrame | None = None
     shift: DataFrame | None = None
 
     def save(self, path: str) -> None:
-        save_artifacts(path, self.means, classifier=self.classifier, calibrator=self.calibrator)
+        save_artifacts(path, {"means": self.means, "knots": self.calibrator.knots}, classifier=self.classifier)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EventModel:
-        return cls(**load_artifacts(spark, path, classifier=GBTClassificationModel,
-                                    calibrator=IsotonicRegressionModel))
+        held = load_artifacts(spark, path, ("means", "knots"), classifier=GBTClassificationModel)
+        return cls(held["classifier"], models.Calibrator(held["knots"]), held["means"])
 
 
 def fit_events(features: DataFrame, names: Sequence[str] = ALL_FEATURES,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.util import MLReadable
@@ -55,23 +55,20 @@ def write_predictions(df: DataFrame, path: str, keys: Sequence[str] = ("year", "
     df.select(*keys, actual, *preds).write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_artifacts(path: str, means: DataFrame | None = None, **models) -> None:
-    """Spark ML models by name, and the one-row imputation means as Parquet."""
+def save_artifacts(path: str, tables: Mapping[str, DataFrame] | None = None, **models) -> None:
+    """Spark ML models by name, and tables (imputation means, knots, coefficients) as Parquet."""
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")
-    if means is not None:
-        means.write.mode("overwrite").parquet(f"{path}/means")
+    for name, table in (tables or {}).items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_artifacts(spark: SparkSession, path: str, means: bool = True,
+def load_artifacts(spark: SparkSession, path: str, tables: Sequence[str] = ("means",),
                    **kinds: type[MLReadable]) -> dict:
-    """Reload what ``save_artifacts`` wrote; ``kinds`` maps each name to its model class."""
-    wanted = list(kinds) + (["means"] if means else [])
-    missing = [n for n in wanted if not _complete(
-        spark, f"{path}/{n}" if n == "means" else f"{path}/{n}/metadata")]
+    """Reload what ``save_artifacts`` wrote; ``kinds`` maps each model's name to its class."""
+    missing = [n for n in (*kinds, *tables) if not _complete(
+        spark, f"{path}/{n}" if n in tables else f"{path}/{n}/metadata")]
     if missing:
         raise FileNotFoundError(f"no saved {', '.join(missing)} under {path}; fit and save first")
     loaded = {n: kind.load(f"{path}/{n}") for n, kind in kinds.items()}
-    if means:
-        loaded["means"] = spark.read.parquet(f"{path}/means")
-    return loaded
+    return loaded | {n: spark.read.parquet(f"{path}/{n}") for n in tables}

@@ -79,6 +79,29 @@ def test_first_hit_is_the_earliest(spark, edges):
     assert {r.SID: r.outcome for r in geo.first_hit(df, edges).collect()} == {"A": "PH", "B": "None"}
 
 
+def test_tiles_of_a_long_boundary(spark):
+    """Ten thousand edges: the same hits as edge by edge, and a tenth of the pairs that bands of latitude make."""
+    n, rng = 10_000, random.Random(4)
+    ring = [((20 + math.sin(k / 40)) * math.cos(2 * math.pi * k / n), (20 + math.sin(k / 40)) * math.sin(
+        2 * math.pi * k / n)) for k in range(n)]
+    hole = [(-3.0, -3.0), (-3.0, 3.0), (3.0, 3.0), (3.0, -3.0), (-3.0, -3.0)]
+    rings = [ring + ring[:1], hole]
+    flat = [("A", 1, 0, r, e, *map(float, (*ring[e], *ring[e + 1])))
+            for r, ring in enumerate(rings) for e in range(len(ring) - 1)]
+    edges = spark.createDataFrame(flat, EDGE_SCHEMA)
+    points = [(rng.uniform(-22, 22), rng.uniform(-22, 22)) for _ in range(250)] + [
+        (a * 0.5, b * 0.5) for a in (-7, -6, 0, 5, 6, 41) for b in (-6, 0, 6, 40)]
+    df = spark.createDataFrame(points, "lon double, lat double")
+    for dist in (None, 0.3):
+        got = {(r.lon, r.lat) for r in geo.polygon_hits(df, edges, dist).collect()}
+        assert got == {p for p in set(points) if inside(rings, *p) or (dist and away(rings, *p) < dist)}
+    tiles = df.select(F.floor(F.col("lat") / geo.TILE).alias("_ty"), F.floor(F.col("lon") / geo.TILE).alias("_tx"))
+    met = tiles.join(geo.border_edges(edges, 0.3), ["_ty", "_tx"]).count()
+    banded = sum(math.floor((min(f[6], f[8]) - 0.3) / 0.5) <= math.floor(p[1] / 0.5) <= math.floor(
+        (max(f[6], f[8]) + 0.3) / 0.5) for p in points for f in flat)
+    assert 10 * met < banded
+
+
 def test_no_nested_loop_join(spark, edges):
     df = spark.createDataFrame([(1.0, 1.0)], "lat double, lon double")
     for max_rows in (10_000, 0):

@@ -3,10 +3,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellcast.operators import linear, models
+from cellcast.operators import linear, models, monotone
 from cellcast.operators.aggregates import feature_means
 from cellcast.operators.batches import score_batches
 from cellcast.operators.counts import fit_zero_inflated, log_gamma, predict_zero_inflated
@@ -46,12 +47,47 @@ def test_nonneg_ridge_against_brute_force(spark, signs):
 def test_knots_clip_and_interpolate(spark):
     knots = spark.createDataFrame([(0.8, 1.0), (0.2, 0.0), (0.5, 0.1)], "x double, y double")
     df = spark.createDataFrame([(0.0,), (0.2,), (0.35,), (0.5,), (0.65,), (0.9,), (None,)], "s double")
-    got = [r.calibrated for r in linear.apply_knots(df, knots, "s").collect()]
-    assert got[:6] == pytest.approx([0.0, 0.0, 0.05, 0.1, 0.55, 1.0]) and got[6] is None
+    for few in (monotone.FEW_KNOTS, 0):
+        got = {r.s: r.calibrated for r in monotone.apply_knots(df, knots, "s", few_knots=few).collect()}
+        assert [got[k] for k in (0.0, 0.2, 0.35, 0.5, 0.65, 0.9)] == pytest.approx([0.0, 0.0, 0.05, 0.1, 0.55, 1.0])
+        assert got[None] is None
+        one = monotone.apply_knots(df, knots.filter("x = 0.5"), "s", few_knots=few).collect()
+        assert {r.calibrated for r in one} == {0.1, None}
     with pytest.raises(ValueError):
-        linear.apply_knots(df, knots, "s", max_knots=2)
-    one = linear.apply_knots(df, knots.filter("x = 0.5"), "s").collect()
-    assert {r.calibrated for r in one} == {0.1, None}
+        monotone.apply_knots(df, knots.limit(0), "s")
+
+
+def test_many_knots_map_like_interpolation(spark):
+    """Far more knots than a plan would hold, in several blocks, and a score that a third of the rows have."""
+    rng = np.random.default_rng(2)
+    xs = np.unique(rng.normal(size=30_000))
+    ys = np.cumsum(rng.random(len(xs)))
+    asked = np.concatenate((rng.normal(size=2000) * 2, np.full(1000, 0.25), xs[:50]))
+    knots = spark.createDataFrame(pd.DataFrame({"x": xs, "y": ys}))
+    df = spark.createDataFrame(pd.DataFrame({"k": np.arange(len(asked)), "s": asked}))
+    got = monotone.apply_knots(df, knots, "s", block_rows=5000).orderBy("k").toPandas()["calibrated"]
+    assert np.allclose(got, np.interp(asked, xs, ys), atol=1e-9)
+
+
+@pytest.mark.parametrize("block", [1 << 17, 64])
+def test_pools_of_blocks_are_those_of_all_rows(spark, block):
+    rng = np.random.default_rng(6)
+    score = np.round(rng.random(3000), 3)
+    label = (rng.random(3000) < np.where(score < 0.3, 0.5 - score, score)).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"s": score, "label": label}))
+    xs, at = np.unique(score, return_inverse=True)
+    sums, counts = np.bincount(at, label).tolist(), np.bincount(at).tolist()
+    pools = [[x, x, s, w] for x, s, w in zip(xs.tolist(), sums, counts)]
+    k = 0
+    while k < len(pools) - 1:
+        if pools[k][2] * pools[k + 1][3] >= pools[k + 1][2] * pools[k][3]:
+            a, b = pools[k], pools.pop(k + 1)
+            pools[k] = [a[0], b[1], a[2] + b[2], a[3] + b[3]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    got = sorted(map(tuple, monotone.isotonic_pools(df, "s", "label", block).collect()))
+    assert np.allclose(np.array(got), np.array(pools))
 
 
 def test_standardise_constant_column(spark):
@@ -132,8 +168,7 @@ def test_calibration_is_monotone_and_keeps_the_mean(spark, events):
     ordered = [r.prob for r in sorted(out, key=lambda r: r.raw_prob)]
     assert all(a <= b + 1e-12 for a, b in zip(ordered, ordered[1:]))
     assert sum(ordered) / len(out) == pytest.approx(sum(r.label for r in out) / len(out), abs=1e-9)
-    knots = models.knots_of(raw, calibrator)
-    same = linear.apply_knots(raw, knots, "raw_prob").select("id", "calibrated").join(
+    same = monotone.apply_knots(raw, calibrator.knots, "raw_prob", few_knots=0).select("id", "calibrated").join(
         models.calibrate(raw, calibrator).select("id", "prob"), "id")
     assert same.agg(F.max(F.abs(F.col("calibrated") - F.col("prob")))).first()[0] < 1e-9
     scored = models.score(df, model, calibrator, ["x", "z"], means, ["id"])

@@ -134,7 +134,7 @@ def test_artifacts_round_trip_and_missing(spark):
     df = spark.createDataFrame([(float(i), float(i % 3)) for i in range(20)], "x double, y double")
     model = fit_tweedie(df, ["x"], "y")
     path = scratch(spark, "art")
-    sinks.save_artifacts(path, df.agg(F.avg("x").alias("x")), tweedie=model)
+    sinks.save_artifacts(path, {"means": df.agg(F.avg("x").alias("x"))}, tweedie=model)
     loaded = sinks.load_artifacts(spark, path, tweedie=GeneralizedLinearRegressionModel)
     assert loaded["tweedie"].intercept == pytest.approx(model.intercept)
     assert loaded["means"].first().x == pytest.approx(9.5)
