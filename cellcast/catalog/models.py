@@ -12,6 +12,7 @@ from cellcast.functions.features import cyclical, phase_interactions
 from cellcast.operators import linear, models
 from cellcast.operators.aggregates import feature_means
 from cellcast.operators.batches import score_batches
+from cellcast.operators.boosting import fit_boosted, predict_boosted
 from cellcast.operators.counts import fit_zero_inflated, predict_zero_inflated
 from cellcast.operators.monotone import apply_knots
 from cellcast.operators.sampling import temporal_split
@@ -120,9 +121,8 @@ def monthly_features(t):
 @query("ml_tweedie_regressor")
 def _(t):
     rows = monthly_features(t)
-    model = models.fit_tweedie(rows.filter("year <= 1999"), COUNT_FEATURES, "actual_count")
-    return models.predict_counts(rows, model, COUNT_FEATURES, "pred").select(
-        "year", "month", r6("pred"))
+    model = fit_boosted(rows.filter("year <= 1999"), [*COUNT_FEATURES, "month"], "actual_count", ["month"])
+    return predict_boosted(rows, model).select("year", "month", r6("pred"))
 
 
 @query("ml_zero_inflated_count")

@@ -12,7 +12,7 @@ from cellcast.operators.aggregates import feature_means
 from cellcast.operators.batches import score_batches
 from cellcast.operators.counts import fit_zero_inflated, log_gamma, predict_zero_inflated
 from cellcast.operators.sampling import temporal_split
-from cellcast.operators.seasonal import fit_seasonal_poisson, poisson_ridge, predict_seasonal
+from cellcast.operators.seasonal import fit_seasonal_poisson, predict_seasonal
 
 
 def brute_ridge(x, y, alpha):
@@ -235,17 +235,46 @@ def test_tweedie_and_seasonal_fits(spark):
     assert min(r.pred for r in out) >= 0.0
 
 
-def test_poisson_ridge_solves_its_equations():
+def poisson_ridge(x, y, penalty):
+    """Newton's steps for one fit, whole in memory."""
+    z = np.column_stack((np.ones(len(y)), (x - x.mean(axis=0)) / x.std(axis=0)))
+    pull = np.array([0.0] + [penalty] * x.shape[1])
+    beta = np.append(np.log(y.mean()), np.zeros(x.shape[1]))
+    for _ in range(200):
+        mu = np.exp(z @ beta)
+        curve = (z * mu[:, None]).T @ z / len(y) + np.diag(pull + 1e-12)
+        step = np.linalg.solve(curve, z.T @ (mu - y) / len(y) + pull * beta)
+        loss = lambda b: (np.exp(z @ b) - y * (z @ b)).mean() + 0.5 * (pull * b * b).sum()
+        size = 1.0
+        while size > 1e-8 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        beta = beta - size * step
+    raw = beta[1:] / x.std(axis=0)
+    return np.append(beta[0] - raw @ x.mean(axis=0), raw)
+
+
+def test_seasonal_fits_equal_one_by_one(spark):
+    """Daily rows; every penalty of every fold, against fits of whole arrays."""
     rng = np.random.default_rng(5)
-    x = rng.normal(size=(200, 3)) * [1, 10, 0.1] + [0, 5, 0]
+    n, points = 900, 4
+    x = rng.normal(size=(n, 2)) * [1, 10] + [0, 5]
+    month = rng.integers(5, 11, n)
     y = rng.poisson(np.exp(0.5 + 0.4 * x[:, 0])).astype(float)
-    for penalty in (1e-4, 1.0, 1e4):
-        beta, settled = poisson_ridge(x, y, penalty)
-        z = (x - x.mean(axis=0)) / x.std(axis=0)
-        mu = np.exp(beta[0] + x @ beta[1:])
-        slope = z.T @ (mu - y) / len(y) + penalty * beta[1:] * x.std(axis=0)
-        assert settled and abs((mu - y).mean()) < 1e-4 and np.abs(slope).max() < 1e-4
-    assert np.abs(beta[1:] * x.std(axis=0)).max() < 1e-3
+    day = np.arange(n)
+    df = spark.createDataFrame(pd.DataFrame({"day": day, "month": month, "a": x[:, 0], "b": x[:, 1], "y": y}))
+    fit = fit_seasonal_poisson(df, ["a", "b"], "y", points=points, order=["day"])["peak"]
+    fold = day // (n // 3)
+    errors = []
+    for penalty in models.penalty_grid(points):
+        miss = 0.0
+        for k in range(3):
+            beta = poisson_ridge(x[fold != k], y[fold != k], penalty)
+            miss += np.abs(np.exp(beta[0] + x[fold == k] @ beta[1:]) - y[fold == k]).sum()
+        errors.append(miss / n)
+    best = int(np.argmin(errors))
+    assert fit.penalty == models.penalty_grid(points)[best] and fit.error == pytest.approx(errors[best], rel=1e-5)
+    whole = poisson_ridge(x, y, fit.penalty)
+    assert (fit.intercept, *fit.coefficients) == pytest.approx(tuple(whole), abs=1e-5)
 
 
 def test_penalty_grid():
