@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellcast.functions.cleaning import clamp
+from cellcast.operators.newton import constant
 from cellcast.shared import checkpointed
 
 # Variance power; leaves of at least so many rows; share of features a tree may use.
@@ -31,7 +32,7 @@ REFRESH = 10
 # Sums of one level that are searched on the driver; more are searched in a task per model and node.
 FEW_SUMS = 200_000
 _RIDGE, _ETA = 1e-6, 30.0
-_SPLITS = ("_group int, _node int, gain double, feature int, mask bigint, here double, left double, right double")
+_SPLITS = ("_boosted int, _node int, gain double, feature int, mask bigint, here double, left double, right double")
 _MODELS = "group int, start double, feature array<int>, mask array<bigint>, value array<double>, gain array<double>"
 
 
@@ -106,18 +107,13 @@ def _fields(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns]
 
 
-def _array(values: np.ndarray, kind: str) -> Column:
-    """Numbers as one constant of the plan, made in one call whatever their count."""
-    return F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast(f"array<{kind}>")
-
-
 def _walked(bins: Column, group: Column, feature: np.ndarray, mask: np.ndarray, value: np.ndarray, depth: int,
             start: Column) -> Column:
     """``start`` plus the values of the leaves that a row's bins lead to in its group's trees."""
     trees, slots = feature.shape[1:]
     if not trees:
         return start
-    features, masks, values = _array(feature, "int"), _array(mask, "bigint"), _array(value, "double")
+    features, masks, values = constant(feature, "int"), constant(mask, "bigint"), constant(value)
 
     def leaf(base: Column) -> Column:
         def step(node: Column, _: Column) -> Column:
@@ -169,7 +165,7 @@ def _splits(kinds: np.ndarray, allowed: np.ndarray, min_rows: int):
         steps = [-g[0, feature[0], part].sum() / (h[0, feature[0], part].sum() + _RIDGE)
                  for part in (side | True, side, ~side)]
         return pd.DataFrame([[*key, best[0], feature[0], left[0], *steps]], columns=[
-            "_group", "_node", "gain", "feature", "mask", "here", "left", "right"])
+            "_boosted", "_node", "gain", "feature", "mask", "here", "left", "right"])
     return split
 
 
@@ -196,11 +192,11 @@ def fit_boosted(df: DataFrame, features: Sequence[str], y: str, categorical: Seq
     start = np.log(np.maximum([r["_mean"] for r in means], 1e-9))
     if by:
         starts = spark.createDataFrame([(*g, k, float(s)) for k, (g, s) in enumerate(zip(groups, start))],
-                                       ", ".join([*_fields(df, by), "_group int", "_score double"]))
+                                       ", ".join([*_fields(df, by), "_boosted int", "_score double"]))
         placed = rows.join(F.broadcast(starts), [rows[c].eqNullSafe(starts[c]) for c in by])
     else:
-        placed = rows.withColumns({"_group": F.lit(0), "_score": F.lit(float(start[0]))})
-    data = checkpointed(placed.select("_group", "_y", "_bins", "_score").hint("rebalance"))
+        placed = rows.withColumns({"_boosted": F.lit(0), "_score": F.lit(float(start[0]))})
+    data = checkpointed(placed.select("_boosted", "_y", "_bins", "_score").hint("rebalance"))
     random = np.random.default_rng(seed)
     kinds = np.array([c in binning.categorical for c in binning.features])
     shape = (len(groups), rounds, slots)
@@ -211,7 +207,7 @@ def fit_boosted(df: DataFrame, features: Sequence[str], y: str, categorical: Seq
 
     def scored(first: int, last: int, tree: int | None) -> DataFrame:
         """Rows with the score after trees before ``last``, and with ``tree`` the node they are at."""
-        walk = [F.col("_bins"), F.col("_group")]
+        walk = [F.col("_bins"), F.col("_boosted")]
         used = [a[:, first:last] for a in (feature, mask, value)]
         rows = data.withColumn("_score", _walked(*walk, *used, depth, F.col("_score")))
         if tree is None:
@@ -231,32 +227,42 @@ def fit_boosted(df: DataFrame, features: Sequence[str], y: str, categorical: Seq
             at = scored(first, tree, tree).where(F.col("_node").between(begin, begin + count - 1))
             score = F.greatest(low, F.least(high, F.col("_score")))
             less, more = F.col("_y") * F.exp(score * (1 - power)), F.exp(score * (2 - power))
-            sums = at.select("_group", "_node", (more - less).alias("_g"),
+            sums = at.select("_boosted", "_node", (more - less).alias("_g"),
                              ((2 - power) * more - (1 - power) * less).alias("_h"),
                              F.posexplode("_bins").alias("_feature", "_bin")).groupBy(
-                "_group", "_node", "_feature", "_bin").agg(
+                "_boosted", "_node", "_feature", "_bin").agg(
                 F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count("*").alias("n"))
             grows = False
             split = _splits(kinds, allowed, min_rows)
             if len(groups) * count * len(kinds) * BINS <= FEW_SUMS:
-                found = [split(key, part) for key, part in sums.toPandas().groupby(["_group", "_node"])]
+                found = [split(key, part) for key, part in sums.toPandas().groupby(["_boosted", "_node"])]
                 found = pd.concat(found).to_dict("records") if found else []
             else:
-                found = sums.groupBy("_group", "_node").applyInPandas(split, _SPLITS).collect()
+                found = sums.groupBy("_boosted", "_node").applyInPandas(split, _SPLITS).collect()
             for r in found:
-                at = (r["_group"], tree, r["_node"])
+                at = (r["_boosted"], tree, r["_node"])
                 if level == 0:
                     value[at] = step * r["here"]
                 if r["gain"] > 1e-12:
                     grows = True
                     feature[at], mask[at], gains[at] = r["feature"], r["mask"], r["gain"]
-                    value[r["_group"], tree, 2 * r["_node"] + 1] = step * r["left"]
-                    value[r["_group"], tree, 2 * r["_node"] + 2] = step * r["right"]
+                    value[r["_boosted"], tree, 2 * r["_node"] + 1] = step * r["left"]
+                    value[r["_boosted"], tree, 2 * r["_node"] + 2] = step * r["right"]
             if not grows:
                 break
     return BoostedCounts(binning, tuple(by), depth, groups, tuple(start.tolist()), feature, mask, value, gains)
 
 
+def _count(score: Column) -> Column:
+    return clamp(F.exp(F.greatest(F.lit(-_ETA), F.least(F.lit(_ETA), score))))
+
+
+def predicted(model: BoostedCounts, bins: Column, group: int = 0) -> Column:
+    """Counts that one group's model gives to rows with ``bins``, clamped."""
+    own = [a[group:group + 1] for a in (model.feature, model.mask, model.value)]
+    return _count(_walked(bins, F.lit(0), *own, model.depth, F.lit(model.start[group])))
+
+
 def predict_boosted(df: DataFrame, model: BoostedCounts, out: str = "pred") -> DataFrame:
     """``df`` with the predicted counts, clamped; rows of a group without a model get null."""
     columns = [c for c in df.columns if c != out]
@@ -264,14 +270,13 @@ def predict_boosted(df: DataFrame, model: BoostedCounts, out: str = "pred") -> D
     if model.by:
         starts = df.sparkSession.createDataFrame(
             [(*g, k, s) for k, (g, s) in enumerate(zip(model.groups, model.start))],
-            ", ".join([*_fields(df, model.by), "_group int", "_start double"]))
+            ", ".join([*_fields(df, model.by), "_boosted int", "_start double"]))
         same = [binned[c].eqNullSafe(starts[c]) for c in model.by]
-        binned = binned.join(F.broadcast(starts), same, "left").select(binned["*"], "_group", "_start")
+        binned = binned.join(F.broadcast(starts), same, "left").select(binned["*"], "_boosted", "_start")
     else:
-        binned = binned.withColumns({"_group": F.lit(0), "_start": F.lit(model.start[0])})
-    score = _walked(F.col("_bins"), F.col("_group"), model.feature, model.mask, model.value, model.depth, F.col("_start"))
-    return binned.withColumn(out, F.when(F.col("_start").isNotNull(), clamp(
-        F.exp(F.greatest(F.lit(-_ETA), F.least(F.lit(_ETA), score)))))).select(*columns, out)
+        binned = binned.withColumns({"_boosted": F.lit(0), "_start": F.lit(model.start[0])})
+    score = _walked(F.col("_bins"), F.col("_boosted"), model.feature, model.mask, model.value, model.depth, F.col("_start"))
+    return binned.withColumn(out, F.when(F.col("_start").isNotNull(), _count(score))).select(*columns, out)
 
 
 def deviance(df: DataFrame, y: str, pred: str, power: float = POWER, by: Sequence[str] = ()) -> DataFrame:

@@ -1,8 +1,9 @@
-"""Zero-inflated negative binomial regression by expectation-maximisation over Spark ML fits.
+"""Zero-inflated negative binomial regressions by expectation-maximisation, many models at once.
 
-Each round is a logistic fit on two weighted copies of the rows and a weighted Poisson fit. The
-E-step is a column expression with the current coefficients as literals, so the plan does not grow
-from round to round; only coefficients and a few sums reach the driver.
+A round is one job for all models (targets, folds): with the current coefficients as constants, every row gives its
+posterior of a structural zero, and the job sums what one Newton step of the count part, one of the zero part, the
+dispersion and the likelihood need, per model. Only systems of a few unknowns are solved outside, and models
+that have settled drop out.
 """
 
 from __future__ import annotations
@@ -12,54 +13,19 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import IllegalArgumentException
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.functions.cleaning import clamp, finite
+from cellcast.operators.newton import constant, linear_term, moments, newton, products, symmetric
 from cellcast.shared import checkpointed
 
 log = logging.getLogger(__name__)
 
 _ETA = 30.0
 _TINY = 1e-9
-# Inner fits only have to improve on the last round.
-_TOL = 1e-4
-# Causes that say a model cannot be fitted to these rows, as solvers raise them on the JVM. Anything
-# else (a lost executor, a full disk) is no statement about the rows and is raised.
-_UNFIT = ("java.lang.IllegalArgumentException", "java.lang.ArithmeticException",
-          "java.lang.AssertionError", "SingularMatrixException", "NotConvergedException",
-          "MatrixSingularException", "MUST NOT be Null or NaN")
-
-
-def unfit(problem: Exception) -> bool:
-    """Whether a failed fit says that the rows admit no model."""
-    if isinstance(problem, (ArithmeticError, ValueError, IllegalArgumentException)):
-        return True
-    cause = problem.java_exception if isinstance(problem, Py4JJavaError) else None
-    for _ in range(20):
-        if cause is None:
-            return False
-        name = f"{cause.getClass().getName()} {cause.getMessage()}"
-        if any(kind in name for kind in _UNFIT):
-            return True
-        cause = cause.getCause()
-    return False
-
-
-def or_fallback(fit, fallback, what: str):
-    """``fit()``, or ``fallback()`` where the rows admit no such model; the reason is logged."""
-    try:
-        return fit()
-    except Exception as problem:
-        if not unfit(problem):
-            raise
-        log.warning("%s: %s", what, str(problem).splitlines()[0][:300])
-        return fallback()
+_HALVINGS = 4
 
 
 @dataclass
@@ -75,6 +41,7 @@ class CountModel:
     gamma: list[float] = field(default_factory=list)
     alpha: float = 0.0
     log_likelihoods: list[float] = field(default_factory=list)
+    settled: bool = True
 
     def _eta(self, features: Sequence[str], coef: Sequence[float]) -> str:
         terms = [_num(coef[0])] + [
@@ -111,13 +78,13 @@ def _clean(name: str) -> str:
     return f"coalesce(CASE WHEN NOT isnan({c}) AND abs({c}) <> double('Infinity') THEN {c} END, 0D)"
 
 
-def _log_count(alpha: float) -> str:
-    """Log probability of ``y`` with mean ``_mu`` under NB2 (Poisson when the dispersion vanishes)."""
-    if alpha < _TINY:
-        return f"y * ln(_mu) - _mu - {log_gamma('(y + 1D)')}"
-    r = 1.0 / alpha
-    return (f"{log_gamma(f'(y + {_num(r)})')} - {_num(math.lgamma(r))} - {log_gamma('(y + 1D)')} + "
-            f"{_num(r)} * ln({_num(r)} / (_mu + {_num(r)})) + y * ln(_mu / (_mu + {_num(r)}))")
+def _log_count() -> str:
+    """Log probability of ``_y`` with mean ``_mu`` and dispersion ``_alpha`` (Poisson when it vanishes)."""
+    r = "(1D / _alpha)"
+    spread = (f"{log_gamma(f'(_y + {r})')} - {log_gamma(r)} - {log_gamma('(_y + 1D)')} + "
+              f"{r} * ln({r} / (_mu + {r})) + _y * ln(_mu / (_mu + {r}))")
+    return (f"CASE WHEN _alpha < {_num(_TINY)} THEN _y * ln(_mu) - _mu - {log_gamma('(_y + 1D)')} "
+            f"ELSE {spread} END")
 
 
 def log_gamma(x: str) -> str:
@@ -129,127 +96,141 @@ def log_gamma(x: str) -> str:
             f" - ln({product}))")
 
 
-def _vector(df: DataFrame, cols: Sequence[str], model: CountModel, out: str) -> DataFrame:
-    scaled = [f"_{out}_{i}" for i in range(len(cols))]
-    values = {s: F.expr(f"({_clean(c)} - {_num(model.centre[c])}) / {_num(model.scale[c])}")
-              for s, c in zip(scaled, cols)}
-    return VectorAssembler(inputCols=scaled, outputCol=out).transform(
-        df.withColumns(values)).drop(*scaled)
-
-
-def _poisson(df: DataFrame, weight: Column, reg: float) -> list[float]:
-    fit = GeneralizedLinearRegression(
-        family="poisson", link="log", featuresCol="xc", labelCol="y", weightCol="w",
-        regParam=reg, maxIter=25, tol=_TOL).fit(df.withColumn("w", weight).filter("w > 1e-12"))
-    coef = [fit.intercept, *fit.coefficients.toArray()]
-    if not all(map(math.isfinite, coef)):
-        raise ArithmeticError("count fit is not finite")
-    return [float(c) for c in coef]
-
-
-def _logistic(df: DataFrame, z: Column, reg: float) -> list[float]:
-    copies = df.withColumn("c", F.explode(F.array(
-        F.struct(F.lit(1.0).alias("label"), z.alias("w")),
-        F.struct(F.lit(0.0).alias("label"), (F.lit(1.0) - z).alias("w"))))).select(
-        "xi", "c.label", "c.w").filter("w > 1e-12")
-    fit = LogisticRegression(featuresCol="xi", labelCol="label", weightCol="w", regParam=reg,
-                             maxIter=25, tol=_TOL).fit(copies)
-    coef = [fit.intercept, *fit.coefficients.toArray()]
-    if not all(map(math.isfinite, coef)):
-        raise ArithmeticError("inflation fit is not finite")
-    return [float(c) for c in coef]
-
-
-def _e_step(data: DataFrame, m: CountModel) -> DataFrame:
-    """``data`` with the mean, the posterior of a structural zero and the row's log-likelihood."""
-    none = "-_mu" if m.alpha < _TINY else f"ln(1D + _mu * {_num(m.alpha)}) * {_num(-1.0 / m.alpha)}"
-    return (data.withColumns({"_mu": m.mean(), "_pi": m.structural()})
-            .withColumn("_zero", F.expr(f"_pi + (1D - _pi) * exp({none})"))
-            .withColumns({
-                "_z": F.expr("CASE WHEN y = 0 THEN _pi / _zero ELSE 0D END"),
-                "_ll": F.expr("CASE WHEN y = 0 THEN ln(_zero) "
-                              f"ELSE ln(1D - _pi) + {_log_count(m.alpha)} END")}))
-
-
-def fit_zero_inflated(df: DataFrame, count_features: Sequence[str],
-                      inflation_features: Sequence[str], y: str, rounds: int = 20,
-                      tol: float = 1e-4, reg: float = 1e-3) -> CountModel:
-    """E(Y) = mu (1 - pi): log-link count part, logit inflation part on its own features.
-
-    A round is kept only if it raises the likelihood; the first that does not ends the loop. If the
-    rows admit no such model a negative binomial one is used, and if they admit none either, zeros.
-    Failures that say nothing about the rows are raised.
-    """
-    count_features, inflation_features = list(count_features), list(inflation_features)
-    used = list(dict.fromkeys(count_features + inflation_features))
-    rows = df.filter(F.col(y).isNotNull()).select(*used, F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("y"))
-    moments = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("my"), F.avg((F.col("y") == 0).cast("double")).alias("zeros"),
-        *[F.avg(F.coalesce(finite(c), F.lit(0.0))).alias(f"m_{c}") for c in used],
-        *[F.stddev_pop(F.coalesce(finite(c), F.lit(0.0))).alias(f"s_{c}") for c in used]).first()
-    model = CountModel("zeros", count_features, inflation_features,
-                       {c: moments[f"m_{c}"] or 0.0 for c in used},
-                       {c: moments[f"s_{c}"] or 1.0 for c in used})
-    if not moments["my"]:
-        return model
-    data = checkpointed(_vector(_vector(rows, count_features, model, "xc"),
-                                inflation_features, model, "xi").hint("rebalance"))
-    plain = or_fallback(lambda: _negative_binomial(data, model, reg), lambda: model,
-                        "no count model, zeros are predicted")
-    if plain.kind == "zeros":
-        return model
-    return or_fallback(
-        lambda: _expectation_maximisation(data, plain, moments["zeros"], rounds, tol, reg),
-        lambda: plain, "no zero-inflated model, the plain count model is used")
-
-
-def _negative_binomial(data: DataFrame, model: CountModel, reg: float, rounds: int = 5) -> CountModel:
-    """NB2 regression: a Poisson fit, the dispersion by moments, and fits weighted by it in turn."""
-    plain = _updated(model, kind="count", beta=_poisson(data, F.lit(1.0), reg))
-    for _ in range(rounds):
-        spread = data.withColumn("_mu", plain.mean()).agg(
-            F.expr("sum((y - _mu) * (y - _mu) - _mu)").alias("num"),
-            F.expr("sum(_mu * _mu)").alias("den")).first()
-        alpha = max(0.0, spread["num"] / spread["den"]) if spread["den"] else 0.0
-        if abs(alpha - plain.alpha) <= _TOL * max(1.0, plain.alpha):
-            return plain
-        weight = F.lit(1.0) / (F.lit(1.0) + plain.mean() * F.lit(alpha))
-        plain = _updated(plain, beta=_poisson(data, weight, reg), alpha=alpha)
-    return plain
-
-
-def _updated(m: CountModel, **changes) -> CountModel:
-    return CountModel(**(m.__dict__ | changes))
-
-
-def _expectation_maximisation(data: DataFrame, plain: CountModel, zeros: float, rounds: int,
-                              tol: float, reg: float) -> CountModel:
-    share = min(max(zeros / 2, 0.01), 0.99)
-    start = math.log(share / (1 - share))
-    best = _updated(plain, kind="zero_inflated",
-                    gamma=[start] + [0.0] * len(plain.inflation_features))
-    best.log_likelihoods = [_likelihood(data, best)]
-    for _ in range(rounds):
-        rows = _e_step(data, best)
-        gamma = _logistic(rows, F.col("_z"), reg)
-        beta = _poisson(rows, F.expr(f"(1D - _z) / (1D + _mu * {_num(best.alpha)})"), reg)
-        spread = rows.agg(F.expr("sum((1D - _z) * ((y - _mu) * (y - _mu) - _mu))").alias("num"),
-                          F.expr("sum((1D - _z) * _mu * _mu)").alias("den")).first()
-        alpha = max(0.0, spread["num"] / spread["den"]) if spread["den"] else 0.0
-        candidate = _updated(best, beta=beta, gamma=gamma, alpha=alpha)
-        reached = _likelihood(data, candidate)
-        if not math.isfinite(reached) or reached <= best.log_likelihoods[-1]:
-            break
-        gained = reached - best.log_likelihoods[-1]
-        candidate.log_likelihoods = [*best.log_likelihoods, reached]
-        best = candidate
-        if gained < tol * abs(reached):
-            break
-    return best
+def inputs(columns: Sequence[str], width: int | None = None) -> Column:
+    """The columns as one array of finite numbers (missing: 0), filled up with zeros to ``width``."""
+    values = [F.coalesce(finite(c), F.lit(0.0)).cast("double") for c in columns]
+    return F.array(*values, *[F.lit(0.0)] * ((width or len(columns)) - len(columns)))
+
+
+def _standardised(rows: DataFrame, name: str, centre: np.ndarray, scale: np.ndarray) -> Column:
+    width = centre.shape[1]
+    own = [F.slice(constant(a), F.col("_group") * width + 1, F.lit(width)) for a in (centre, scale)]
+    moved = F.zip_with(F.zip_with(name, own[0], lambda a, b: a - b), own[1], lambda a, b: a / b)
+    return F.concat(F.array(F.lit(1.0)), moved)
 
 
-def _likelihood(data: DataFrame, m: CountModel) -> float:
-    return float(_e_step(data, m).agg(F.sum("_ll")).first()[0])
+def _scales(rows: DataFrame, groups: int, widths: dict[str, int]) -> tuple[dict, list]:
+    found = rows.groupBy("_group").agg(
+        F.avg("_y").alias("my"), F.avg((F.col("_y") == 0).cast("double")).alias("zeros"),
+        *[fold(F.col(name)[k]).alias(f"{kind}{name}{k}") for name, width in widths.items() for k in range(width)
+          for kind, fold in (("m", F.avg), ("s", F.stddev_pop))]).collect()
+    parts = {name: (np.zeros((groups, width)), np.ones((groups, width))) for name, width in widths.items()}
+    for r in found:
+        for name, width in widths.items():
+            parts[name][0][r["_group"]] = [r[f"m{name}{k}"] for k in range(width)]
+            parts[name][1][r["_group"]] = [r[f"s{name}{k}"] or 1.0 for k in range(width)]
+    return parts, found
+
+
+def fit_zero_inflated_groups(rows: DataFrame, names: Sequence[tuple[Sequence[str], Sequence[str]]],
+                             rounds: int = 40, tol: float = 1e-6, reg: float = 1e-3) -> list[CountModel]:
+    """A model for each group of ``rows``: ``_group``, ``_y``, and the raw inputs ``_c`` of the count part and ``_i``
+    of the zero part as arrays of one width; ``names`` gives each group's input names.
+
+    E(Y) = mu (1 - pi). A round that does not raise a group's likelihood is halved, and given up after a few
+    halvings; a group settles when a round gains less than ``tol`` of its likelihood. A group whose values are all 0
+    (or that has no row) predicts zeros; one without a zero has a count part only.
+    """
+    groups = len(names)
+    widths = {"_c": max((len(c) for c, _ in names), default=1), "_i": max((len(i) for _, i in names), default=1)}
+    rows = checkpointed(rows.select("_group", "_y", "_c", "_i"))
+    scales, found = _scales(rows, groups, widths)
+    mean, zeros = np.zeros(groups), np.zeros(groups)
+    for r in found:
+        mean[r["_group"]], zeros[r["_group"]] = r["my"], r["zeros"]
+    live = mean > 0
+    data = rows.where(F.get(constant(live.astype(int), "int"), F.col("_group")) == 1)
+    data = checkpointed(data.withColumns({
+        "_c": _standardised(rows, "_c", *scales["_c"]), "_i": _standardised(rows, "_i", *scales["_i"])}).hint("rebalance"))
+    wc, wi = widths["_c"] + 1, widths["_i"] + 1
+    beta = np.zeros((groups, wc))
+    beta[:, 0] = np.log(np.maximum(mean, 1e-9))
+    pull = np.full((groups, wc), reg)
+    pull[:, 0] = 0.0
+    beta = newton(data, wc, beta, lambda eta: F.exp(eta), lambda eta: F.col("_y") - F.exp(eta),
+                  lambda eta: F.exp(eta) - F.col("_y") * eta, pull, x="_c", rounds=30, tol=1e-7).coefficients
+    gamma, inflated = np.zeros((groups, wi)), live & (zeros > 0)
+    share = np.clip(zeros / 2, 0.01, 0.99)
+    gamma[:, 0] = np.where(inflated, np.log(share / (1 - share)), -_ETA)
+    now = {"beta": beta, "gamma": gamma, "alpha": np.zeros(groups)}
+    trial = {k: v.copy() for k, v in now.items()}
+    step = {k: np.zeros_like(v) for k, v in now.items()}
+    best, tries = np.full(groups, -np.inf), np.zeros(groups, dtype=int)
+    likelihoods: list[list[float]] = [[] for _ in range(groups)]
+    settled = ~live
+    for _ in range(rounds + 1):
+        if settled.all():
+            break
+        for r in _sums(data, trial, settled, wc, wi):
+            g, n, reached = r["_group"], r["n"], r["ll"]
+            if reached is None or not math.isfinite(reached) or reached <= best[g]:
+                tries[g] += 1
+                if tries[g] > _HALVINGS:
+                    settled[g] = True
+                for k in now:
+                    step[k][g] /= 2
+                    trial[k][g] = now[k][g] + step[k][g]
+                continue
+            gained, best[g], tries[g] = reached - best[g], reached, 0
+            likelihoods[g].append(float(reached))
+            for k in now:
+                now[k][g] = trial[k][g]
+            if gained < tol * abs(reached):
+                settled[g] = True
+                continue
+            for name, width, curve, slope in (("beta", wc, r["cc"], r["cs"]), ("gamma", wi, r["ic"], r["is_"])):
+                ridge = np.append(0.0, np.full(width - 1, reg))
+                system = symmetric(np.array(curve) / n, width) + np.diag(ridge + 1e-9)
+                step[name][g] = np.linalg.lstsq(system, np.array(slope) / n - ridge * now[name][g], rcond=None)[0]
+            if not inflated[g]:
+                step["gamma"][g] = 0.0
+            step["alpha"][g] = (max(0.0, r["num"] / r["den"]) if r["den"] else 0.0) - now["alpha"][g]
+            for k in now:
+                trial[k][g] = now[k][g] + step[k][g]
+    if not settled.all():
+        log.warning("%d of %d count models did not settle in %d rounds", int((~settled).sum()), groups, rounds)
+    out = []
+    for g, (count, inflation) in enumerate(names):
+        model = CountModel("zeros", list(count), list(inflation))
+        if live[g]:
+            model = CountModel(
+                "zero_inflated" if inflated[g] else "count", list(count), list(inflation),
+                *[{**dict(zip(inflation, scales["_i"][k][g].tolist())), **dict(zip(count, scales["_c"][k][g].tolist()))}
+                  for k in (0, 1)], now["beta"][g, :len(count) + 1].tolist(),
+                now["gamma"][g, :len(inflation) + 1].tolist(), float(now["alpha"][g]), likelihoods[g], bool(settled[g]))
+        out.append(model)
+    return out
+
+
+def _sums(data: DataFrame, at: dict[str, np.ndarray], settled: np.ndarray, wc: int, wi: int) -> list:
+    """Per open group: rows, log-likelihood, and the sums of both Newton steps and of the dispersion."""
+    group = F.col("_group")
+    rows = data.where(F.get(constant(settled.astype(int), "int"), group) == 0).withColumns({
+        "_mu": F.exp(linear_term(F.col("_c"), group, at["beta"])),
+        "_pi": F.lit(1.0) / (F.lit(1.0) + F.exp(-linear_term(F.col("_i"), group, at["gamma"]))),
+        "_alpha": F.greatest(F.get(constant(at["alpha"]), group), F.lit(0.0))})
+    none = f"CASE WHEN _alpha < {_num(_TINY)} THEN -_mu ELSE ln(1D + _mu * _alpha) / -_alpha END"
+    rows = rows.withColumn("_zero", F.expr(f"_pi + (1D - _pi) * exp({none})")).withColumns({
+        "_z": F.expr("CASE WHEN _y = 0 THEN _pi / _zero ELSE 0D END"),
+        "_ll": F.expr(f"CASE WHEN _y = 0 THEN ln(_zero) ELSE ln(1D - _pi) + {_log_count()} END")})
+    share = F.expr("(1D - _z) / (1D + _mu * _alpha)")
+    return rows.groupBy("_group").agg(
+        F.count("*").alias("n"), F.sum("_ll").alias("ll"),
+        F.array(*products("_c", wc, share * F.col("_mu"))).alias("cc"),
+        F.array(*moments("_c", wc, share * (F.col("_y") - F.col("_mu")))).alias("cs"),
+        F.array(*products("_i", wi, F.expr("_pi * (1D - _pi)"))).alias("ic"),
+        F.array(*moments("_i", wi, F.expr("_z - _pi"))).alias("is_"),
+        F.expr("sum((1D - _z) * ((_y - _mu) * (_y - _mu) - _mu))").alias("num"),
+        F.expr("sum((1D - _z) * _mu * _mu)").alias("den")).collect()
+
+
+def fit_zero_inflated(df: DataFrame, count_features: Sequence[str], inflation_features: Sequence[str], y: str,
+                      rounds: int = 40, tol: float = 1e-6, reg: float = 1e-3) -> CountModel:
+    """One model; see ``fit_zero_inflated_groups``. Negative values count as 0, rows without one are left out."""
+    rows = df.filter(F.col(y).isNotNull()).select(
+        F.lit(0).alias("_group"), F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("_y"),
+        inputs(count_features).alias("_c"), inputs(inflation_features).alias("_i"))
+    return fit_zero_inflated_groups(rows, [(list(count_features), list(inflation_features))], rounds, tol, reg)[0]
 
 
 def predict_zero_inflated(df: DataFrame, model: CountModel, out: str = "pred") -> DataFrame:

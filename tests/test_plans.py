@@ -10,6 +10,7 @@ from cellcast.operators.aggregates import (OUTCOMES, cell_visits, entity_months,
                                            outcome_crosstab, outcome_prior, smooth_transition)
 from cellcast.operators.geo import first_hit
 from cellcast.operators.joins import attach_outcome
+from cellcast.operators.counts import fit_zero_inflated
 from cellcast.plans import events, forecast
 from cellcast.plans.features import ALL_FEATURES, build_features
 from cellcast.plans.master import build_master
@@ -121,7 +122,7 @@ def test_monthly_features_both_modes(spark):
 def test_forecast_stack_and_skips(spark):
     df, names = monthly_features(month_table(spark))
     some = ["monthly_index", "monthly_index_log", "driver", "month_sin", "month_cos"]
-    out = forecast.forecast(df, some, ("count", "VN", "JP"), start=2004, end=2005, rounds=1)
+    out = forecast.forecast(df, some, ("count", "VN", "JP"), start=2004, end=2005, trees=8)
     assert set(out.models) | set(out.failed) == {"count", "VN"} and "count" in out.models
     assert out.models["count"].weights is not None
     preds = out.months.select("year", "actual_count", "pred_count").collect()
@@ -139,7 +140,7 @@ def test_forecast_failure_of_one_target_is_recorded(spark):
     df = df.withColumns({"actual_JP": F.lit(None).cast("int"),
                          "actual_VN": F.when(F.col("month") == 5, -3).otherwise(F.col("actual_VN"))})
     df = df.withColumn("index_JP", F.col("index_VN")).withColumn("index_JP_log", F.col("index_VN_log"))
-    out = forecast.forecast(df, ["driver"], ("count", "JP", "VN"), start=2005, end=2005, rounds=1)
+    out = forecast.forecast(df, ["driver"], ("count", "JP", "VN"), start=2005, end=2005, trees=2)
     assert list(out.failed) == ["JP"] and set(out.models) == {"count", "VN"}
     assert out.months.filter("pred_VN < 0 OR isnan(pred_VN)").count() == 0
 
@@ -150,7 +151,31 @@ def test_forecast_raises_what_says_nothing_about_the_rows(spark, monkeypatch):
     def fit(*_):
         raise RuntimeError("an executor was lost")
 
-    monkeypatch.setattr(forecast, "fit_target", fit)
+    monkeypatch.setattr(forecast, "fit_zero_inflated_groups", fit)
     with pytest.raises(RuntimeError):
-        forecast.forecast(df, ["driver"], ("count",))
+        forecast.forecast(df, ["driver"], ("count",), start=2004, end=2005)
 
+
+def test_saved_forecast_predicts_the_same(spark):
+    df, _ = monthly_features(month_table(spark))
+    out = forecast.forecast(df, ["monthly_index", "driver", "month"], ("count", "VN"), start=2004, end=2005, trees=4)
+    assert {r.year for r in out.held_out().select("year").distinct().collect()} == {2006}
+    path = scratch(spark, "forecast")
+    out.save(path)
+    again = forecast.with_predictions(df, forecast.load_models(spark, path))
+    both = out.months.select("year", "month", "pred_count", "pred_VN").join(
+        again.select("year", "month", F.col("pred_count").alias("c"), F.col("pred_VN").alias("v")), ["year", "month"])
+    assert both.count() == 72
+    assert both.agg(F.max(F.abs(F.col("c") - F.col("pred_count")) + F.abs(F.col("v") - F.col("pred_VN")))).first()[0] < 1e-12
+
+
+def test_folds_see_only_earlier_years(spark):
+    """The stack of one target equals the one of models fitted fold by fold."""
+    df, _ = monthly_features(month_table(spark))
+    out = forecast.forecast(df, ["monthly_index", "month"], ("count",), start=2004, end=2005, trees=3)
+    count, inflation = count_features("count")
+    changed = df.withColumn("actual_count", F.when(F.col("year") == 2006, 99).otherwise(F.col("actual_count")))
+    same = forecast.forecast(changed, ["monthly_index", "month"], ("count",), start=2004, end=2005, trees=3)
+    assert same.models["count"].weights == pytest.approx(out.models["count"].weights)
+    alone = fit_zero_inflated(df.filter("year <= 2005"), count, inflation, "actual_count")
+    assert out.models["count"].counts.beta == pytest.approx(alone.beta, abs=1e-6)
