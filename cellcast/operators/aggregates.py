@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,8 @@ from pyspark.sql import Window
 from cellcast.functions.dates import season
 from cellcast.functions.features import PROB_HIGH, PROB_SOFT, classify_phase, soft_threshold
 from cellcast.functions.grid import Box, in_snapped_box, snap
-from cellcast.shared import small, value_of
+from cellcast.operators.windows import running_totals
+from cellcast.shared import checkpointed, small, value_of
 
 MONTH = ("year", "month")
 # Outcome codes, in report order and in matrix order.
@@ -263,35 +265,39 @@ def neighbourhood_mean(cells: DataFrame, col: str, radius: float = 1.0, step: fl
                        lon: str = "lon") -> DataFrame:
     """Mean of ``col`` over the cells within ``radius`` degrees of each cell, itself included.
 
-    Each cell sends its value to the cells around it: sums and counts per receiving cell, combined
-    map-side. Only cells present in the input receive.
+    A cell sends one copy to each row of cells its disc touches; there the copies of each row distance are summed
+    over a range of columns as wide as the disc is at that distance. Only cells present in the input receive.
     """
     reach = int(radius / step)
-    offsets = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)
-               if (i * i + j * j) * step * step <= radius * radius]
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
-    sent = (cells.select(*keys, F.round(F.col(lat) / step).cast("bigint").alias("_r"),
-                         F.round(F.col(lon) / step).cast("bigint").alias("_c"),
-                         F.col(col).alias("_v"), F.explode(around).alias("_o"))
-            .select(*keys, (F.col("_r") + F.col("_o.i")).alias("_r"),
-                    (F.col("_c") + F.col("_o.j")).alias("_c"), "_v",
-                    ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("_own")))
-    return (sent.groupBy(*keys, "_r", "_c")
-            .agg(F.avg("_v").alias(f"{col}_near"), F.max("_own").alias("_own"))
-            .filter("_own")
-            .select(*keys, (F.col("_r") * step).alias(lat), (F.col("_c") * step).alias(lon),
-                    f"{col}_near"))
+    half = [int(math.sqrt(max(0.0, (radius / step) ** 2 - i * i)) + 1e-9) for i in range(reach + 1)]
+    own = cells.groupBy(*keys, F.round(F.col(lat) / step).cast("bigint").alias("_r"),
+                        F.round(F.col(lon) / step).cast("bigint").alias("_c")).agg(
+        F.sum(col).alias("_v"), F.count(col).alias("_n"))
+    copies = own.select(*keys, "_r", "_c", "_v", "_n", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_i"))
+    copies = copies.withColumn("_r", F.col("_r") + F.col("_i"))
+    row = Window.partitionBy(*keys, "_r").orderBy("_c")
+    summed = {f"_{name}{i}": F.coalesce(F.sum(F.when(F.abs("_i") == i, F.col(name))).over(
+        row.rangeBetween(-half[i], half[i])), F.lit(0)) for i in range(reach + 1) for name in ("_v", "_n")}
+    total = {name: sum(F.col(f"_{name}{i}") for i in range(reach + 1)) for name in ("_v", "_n")}
+    return copies.withColumns(summed).filter("_i = 0").select(
+        *keys, (F.col("_r") * step).alias(lat), (F.col("_c") * step).alias(lon),
+        (total["_v"] / F.nullif(total["_n"], F.lit(0))).alias(f"{col}_near"))
 
 
 def mass_centre(df: DataFrame, score: str = "prob", at: str = "lon", share: float = 0.05,
-                keys: Sequence[str] = MONTH, accuracy: int = 10_000) -> DataFrame:
+                keys: Sequence[str] = MONTH) -> DataFrame:
     """Score-weighted mean of ``at`` over the rows of each key at or above the (1 - share) quantile.
 
-    The cut is an approximate percentile, a bounded mergeable sketch, so no key is sorted whole.
+    The cut is exact: the smallest score up to which that share of the key's rows lies, read off the running counts
+    of its distinct scores, which are summed block by block; no key is sorted whole.
     """
-    cuts = df.groupBy(*keys).agg(
-        F.percentile_approx(score, 1.0 - share, accuracy).alias("_cut"))
-    top = df.join(small(cuts), on=list(keys)).filter(F.col(score) >= F.col("_cut"))
+    keys = list(keys)
+    counts = df.filter(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_rows"))
+    running = checkpointed(running_totals(counts, ["_rows"], keys, order=score))
+    wanted = running.groupBy(*keys).agg(F.ceil((1.0 - share) * F.sum("_rows") - 1e-9).alias("_wanted"))
+    cuts = running.join(small(wanted), on=keys).filter("cum__rows >= _wanted").groupBy(*keys).agg(
+        F.min(score).alias("_cut"))
+    top = df.join(small(checkpointed(cuts)), on=keys).filter(F.col(score) >= F.col("_cut"))
     return top.groupBy(*keys).agg(
         (F.sum(F.col(score) * F.col(at)) / F.nullif(F.sum(score), F.lit(0.0))).alias("mass_centre"))
 

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellcast.functions.dates import month_index
-from cellcast.shared import SMALL_ROWS, small, value_of
+from cellcast.shared import SMALL_ROWS, checkpointed, small, value_of
 
 CELL_DAY = ("lat", "lon", "date")
+# Points of one cell and day that meet their cell in one task.
+CROWD = 10_000
 
 
 def join_cell_day(left: DataFrame, right: DataFrame, on: Sequence[str] = CELL_DAY) -> DataFrame:
@@ -31,15 +33,15 @@ def join_month_index(df: DataFrame, index: DataFrame, year: str = "index_year",
 
 def attach_events(df: DataFrame, tracks: DataFrame, on: Sequence[str] = CELL_DAY,
                   dedup: bool = False, order: Sequence[str] = (),
-                  max_rows: int = SMALL_ROWS) -> DataFrame:
+                  max_rows: int = SMALL_ROWS, crowd: int = CROWD) -> DataFrame:
     """Track points attached to their cell and day; cells without one keep nulls.
 
     Several points of one cell-day fan the row out. ``dedup`` keeps only the first point by
     ``order`` (all point columns when empty).
 
-    Few points are broadcast. Many are joined from the point side, so that a cell-day with a huge
-    number of points can be split by adaptive skew handling (an outer join cannot split its
-    optional side), and the cell-days without points are added by an anti-join.
+    The points are computed once. Few are broadcast. Many are joined on key and salt: a cell-day with more than
+    ``crowd`` points deals them over salts and meets them with a copy of its row per salt (an outer join cannot be
+    split by adaptive skew handling), all others have one salt. ``df`` is read once either way.
     """
     on = list(on)
     extra = [c for c in tracks.columns if c not in on]
@@ -48,14 +50,23 @@ def attach_events(df: DataFrame, tracks: DataFrame, on: Sequence[str] = CELL_DAY
         by = F.struct(*(order or extra))
         points = points.groupBy(*on).agg(
             F.min_by(F.struct(*extra), by).alias("_p")).select(*on, "_p.*")
+    points = checkpointed(points)
     columns = df.columns + extra
-    if points.limit(max_rows + 1).count() <= max_rows:
-        return df.join(F.broadcast(points), on=on, how="left").select(columns)
-    if dedup:
+    if dedup or points.limit(max_rows + 1).count() <= max_rows:
+        return df.join(small(points, max_rows), on=on, how="left").select(columns)
+    crowded = checkpointed(points.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(
+        F.col("_n") > crowd).select(*on, F.ceil(F.col("_n") / crowd).cast("int").alias("_salts")))
+    if not crowded.limit(1).count():
         return df.join(points, on=on, how="left").select(columns)
-    matched = points.join(df, on=on, how="inner").select(columns)
-    rest = df.join(points.select(*on).distinct(), on=on, how="left_anti")
-    return matched.unionByName(rest, allowMissingColumns=True)
+    known = F.coalesce("_salts", F.lit(1))
+    dealt = F.pmod(F.xxhash64(*points.columns, F.monotonically_increasing_id()), known).cast("int")
+    salted = points.join(small(crowded, max_rows), on=on, how="left").select(
+        *points.columns, dealt.alias("_salt"), F.lit(True).alias("_met"))
+    rows = df.join(small(crowded, max_rows), on=on, how="left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), known - 1)))
+    # A salt that got no point of a crowded key has no row of its own.
+    return rows.join(salted, on=[*on, "_salt"], how="left").filter(
+        F.col("_salts").isNull() | F.col("_met")).select(columns)
 
 
 def attach_transition(df: DataFrame, grid: DataFrame, on: Sequence[str] = ("lat", "lon"),
@@ -70,7 +81,7 @@ def attach_transition(df: DataFrame, grid: DataFrame, on: Sequence[str] = ("lat"
 
 def attach_outcome(events: DataFrame, outcomes: DataFrame, id_col: str = "SID") -> DataFrame:
     """Outcome of each event; an event without one keeps null and counts for no target."""
-    return events.join(small(outcomes), on=id_col, how="left")
+    return events.join(small(checkpointed(outcomes)), on=id_col, how="left")
 
 
 def join_actuals(index: DataFrame, actuals: DataFrame, driver: DataFrame | None = None,

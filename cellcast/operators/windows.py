@@ -57,12 +57,12 @@ def trailing_means(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     ``rows`` counts rows including the current one; ``days`` counts calendar days of the first
     ``order`` column, so gaps shorten the window. Short prefixes average what exists and nulls are
     skipped. ``order`` must be total for ``rows`` to be repeatable. ``chunk_rows`` cuts each key
-    into pieces of that many rows, each carrying the rows before it that its windows reach back to.
+    into pieces of that many rows (with ``days``: of that many days), each carrying the rows before it that its
+    windows reach back to.
     """
     keys, order = list(keys), list(order)
     if frame == "days":
-        plain = Window.partitionBy(*keys).orderBy(F.unix_date(order[0]))
-        return df.select("*", *_day_means(spec, plain))
+        return _pieces_of_days(df, keys, F.unix_date(order[0]), spec, chunk_rows)
     if frame != "rows":
         raise ValueError(f"unknown frame {frame!r}")
     if chunk_rows is None:
@@ -81,6 +81,21 @@ def trailing_means(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return means.filter(F.col("_chunk") == chunk).select(*df.columns, *outs)
 
 
+def _pieces_of_days(df: DataFrame, keys: list[str], day: Column, spec: Mapping[int, Mapping[str, str]],
+                    chunk_days: int | None) -> DataFrame:
+    """A row goes to the piece of its day and to the later ones whose windows reach back to it, by arithmetic on
+    its own day: no numbering, and a hot key is spread over its calendar."""
+    if chunk_days is None:
+        return df.select("*", *_day_means(spec, Window.partitionBy(*keys).orderBy(day)))
+    own = F.floor(day / chunk_days)
+    reached = F.sequence(own, F.floor((day + (max(spec) - 1)) / chunk_days))
+    # A row without a day has a window of its own kind, the other rows without one.
+    pieces = df.withColumns({"_day": day, "_piece": F.explode(F.coalesce(reached, F.array(own)))})
+    means = pieces.select("*", *_day_means(spec, Window.partitionBy(*keys, "_piece").orderBy("_day")))
+    outs = [out for measures in spec.values() for out in measures.values()]
+    return means.filter(F.col("_piece").eqNullSafe(F.floor(F.col("_day") / chunk_days))).select(*df.columns, *outs)
+
+
 def _day_means(spec: Mapping[int, Mapping[str, str]], window: WindowSpec) -> list[Column]:
     return [F.avg(src).over(window.rangeBetween(-(n - 1), HERE)).alias(out)
             for n, measures in spec.items() for src, out in measures.items()]

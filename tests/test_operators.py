@@ -42,6 +42,16 @@ def test_events_fan_out_or_dedup_on_both_paths(spark, max_rows):
     assert sorted((r.lon, r.SID or "") for r in one.collect()) == [(1.0, "B"), (2.0, "")]
 
 
+def test_crowded_cell_days_are_dealt_over_salts(spark):
+    points = spark.createDataFrame([(1.0, 1.0, DAY, f"A{k}") for k in range(40)] + [(1.0, 1.0, DAY, "A0"), (9.0, 9.0, DAY, "X")],
+                                   "lat double, lon double, date date, SID string")
+    rows = two_cells(spark)
+    want = joins.attach_events(rows, points)
+    for crowd in (1, 7, 30):
+        got = joins.attach_events(rows, points, max_rows=0, crowd=crowd)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 42
+
+
 def test_lookup_is_broadcast_only_below_the_bound(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
@@ -148,6 +158,23 @@ def test_histogram_bins(spark):
     assert rows == {1: (-1.0, 2), 3: (0.0, 1)}
 
 
+def test_mass_centre_cuts_exactly(spark):
+    """More distinct scores than a sketch tells apart."""
+    rng = random.Random(9)
+    rows = [(2000, k % 2, rng.random(), rng.uniform(0, 50)) for k in range(60_000)]
+    df = spark.createDataFrame(rows, "year int, month int, prob double, lon double")
+    got = {r.month: r.mass_centre for r in agg.mass_centre(df).collect()}
+    for month in (0, 1):
+        own = sorted((p, x) for _, m, p, x in rows if m == month)
+        top = own[math.ceil(0.95 * len(own) - 1e-9) - 1:]
+        assert got[month] == pytest.approx(sum(p * x for p, x in top) / sum(p for p, _ in top), rel=1e-12)
+
+
+def test_neighbourhood_sends_a_copy_per_row_of_cells(spark):
+    plan = plan_of(agg.neighbourhood_mean(cells(spark, [(0.0, 100.0, DAY, 1.0)]), "v"))
+    assert "Expand" not in plan and plan.count("Generate") >= 1
+
+
 def test_neighbourhood_against_brute_force(spark):
     rng = random.Random(5)
     spots = rng.sample([(i, j) for i in range(12) for j in range(12)], 70)
@@ -159,6 +186,21 @@ def test_neighbourhood_against_brute_force(spark):
     assert len(got) == len(rows)
 
 
+def test_pieces_of_days_equal_whole_histories(spark):
+    rng = random.Random(11)
+    rows = [(1.0, float(k % 2), dt.date(2000, 1, 1) + dt.timedelta(days=rng.randrange(400)),
+             None if k % 9 == 0 else rng.random()) for k in range(600)] + [(1.0, 1.0, None, 2.0), (1.0, 1.0, None, 4.0)]
+    df = spark.createDataFrame(rows, "lat double, lon double, date date, v double")
+    spec = {7: {"v": "v7"}, 90: {"v": "v90"}}
+    whole = windows.trailing_means(df, ["lat", "lon"], ["date"], spec, "days")
+    for days in (10, 64, 1000):
+        cut = windows.trailing_means(df, ["lat", "lon"], ["date"], spec, "days", chunk_rows=days)
+        a, b = (sorted((str(r.lon), str(r.date), str(r.v), round(r.v7 or -1, 9), round(r.v90 or -1, 9))
+                       for r in d.collect()) for d in (whole, cut))
+        assert a == b
+    assert "_piece" in full_plan(cut)
+
+
 # windows ---------------------------------------------------------------------------------------
 
 # A worked example of one cell, five days.
