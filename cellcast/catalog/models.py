@@ -13,7 +13,8 @@ from cellcast.operators import linear, models
 from cellcast.operators.aggregates import feature_means
 from cellcast.operators.batches import score_batches
 from cellcast.operators.boosting import fit_boosted, predict_boosted
-from cellcast.operators.counts import fit_zero_inflated, predict_zero_inflated
+from cellcast.operators.counts import (fit_zero_inflated, fit_zero_inflated_groups, inputs,
+                                       predict_zero_inflated)
 from cellcast.operators.monotone import apply_knots
 from cellcast.operators.sampling import temporal_split
 from cellcast.operators.seasonal import fit_seasonal_poisson, predict_seasonal
@@ -143,14 +144,14 @@ FALLBACKS = {"some": ("actual_VN", "zero_inflated"), "always": ("actual_VN + 1",
     f"SELECT year, month, '{name}' AS target, '{kind}' AS kind, {name != 'never'} AS positive FROM monthly_x"
     for name, (_, kind) in FALLBACKS.items()))
 def _(t):
-    parts = []
-    for name, (target, _) in FALLBACKS.items():
-        rows = monthly_features(t).withColumn("target_count", F.expr(target))
-        model = fit_zero_inflated(rows, COUNT_FEATURES, INFLATION_FEATURES, "target_count")
-        parts.append(predict_zero_inflated(rows, model).select(
-            "year", "month", F.lit(name).alias("target"), F.lit(model.kind).alias("kind"),
-            (F.col("pred") > 0).alias("positive")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = monthly_features(t)
+    each = F.array(*[F.struct(F.lit(k).alias("_group"), F.expr(f"CAST({target} AS DOUBLE)").alias("_y"))
+                     for k, (target, _) in enumerate(FALLBACKS.values())])
+    long = rows.select(inputs(COUNT_FEATURES).alias("_c"), inputs(INFLATION_FEATURES).alias("_i"), F.inline(each))
+    found = fit_zero_inflated_groups(long, [(COUNT_FEATURES, INFLATION_FEATURES)] * len(FALLBACKS))
+    kinds = F.array(*[F.struct(F.lit(name).alias("target"), F.lit(model.kind).alias("kind"),
+                               (model.predict() > 0).alias("positive")) for name, model in zip(FALLBACKS, found)])
+    return rows.select("year", "month", F.inline(kinds))
 
 
 @query("ml_standardise", views="labelled", oracle="""
@@ -229,11 +230,12 @@ def _(t):
     return predict_seasonal(rows, fits, "pred").select("year", "month", r6("pred"))
 
 
-@query("ml_vector_assemble")
+@query("ml_vector_assemble", views="labelled", oracle="SELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"CAST(COALESCE({c}, 0) AS DOUBLE) AS f{k}" for k, c in enumerate(FEATURES)) + " FROM labelled")
 def _(t):
     filled = t.labelled.fillna(0.0, subset=["sst"])
-    return models.assemble(filled, FEATURES).select(
-        *KEY, models.vector_to_array("features").alias("features"))
+    vector = models.vector_to_array("features")
+    return models.assemble(filled, FEATURES).select(*KEY, *[vector[k].alias(f"f{k}") for k in range(len(FEATURES))])
 
 
 def linear_scorer(coef: dict[str, float], intercept: float, keys: list[str]):

@@ -11,7 +11,7 @@ from cellcast.catalog.views import Tables, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 SECTIONS = ("sources", "scalars", "joins", "aggregates", "windows", "polygons", "sampling",
-            "models", "evaluation", "extras")
+            "models", "evaluation", "extras", "plans")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}

@@ -173,10 +173,16 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@query("src_dataset_profile")
+@query("src_dataset_profile", oracle=" UNION ALL ".join(
+    f"SELECT '{n}' AS dataset, (SELECT COUNT(*) FROM {n}) AS row_count, "
+    f"(SELECT CAST(COUNT(*) AS INTEGER) FROM (DESCRIBE {n})) AS column_count, "
+    f"CAST(LEAST(20, (SELECT COUNT(*) FROM {n})) AS INTEGER) AS sampled, FALSE AS failed" for n in DRIVER_TABLES)
+    + " UNION ALL SELECT 'absent', NULL, NULL, NULL, TRUE")
 def _(t):
-    return profile_datasets(t.spark, {n: t.path(n) for n in DRIVER_TABLES} | {
-        "absent": t.path("absent")})
+    found = profile_datasets(t.spark, {n: t.path(n) for n in DRIVER_TABLES} | {"absent": t.path("absent")})
+    sampled = F.when(F.col("sample_rows").isNotNull(), F.size("sample_rows"))
+    return found.select("dataset", "row_count", "column_count", sampled.alias("sampled"),
+                        F.col("error").isNotNull().alias("failed"))
 
 
 @query("src_row_counts_by_category", oracle="""

@@ -123,7 +123,7 @@ def _scales(rows: DataFrame, groups: int, widths: dict[str, int]) -> tuple[dict,
 
 
 def fit_zero_inflated_groups(rows: DataFrame, names: Sequence[tuple[Sequence[str], Sequence[str]]],
-                             rounds: int = 40, tol: float = 1e-6, reg: float = 1e-3) -> list[CountModel]:
+                             rounds: int = 40, tol: float = 1e-5, reg: float = 1e-3) -> list[CountModel]:
     """A model for each group of ``rows``: ``_group``, ``_y``, and the raw inputs ``_c`` of the count part and ``_i``
     of the zero part as arrays of one width; ``names`` gives each group's input names.
 
@@ -225,7 +225,7 @@ def _sums(data: DataFrame, at: dict[str, np.ndarray], settled: np.ndarray, wc: i
 
 
 def fit_zero_inflated(df: DataFrame, count_features: Sequence[str], inflation_features: Sequence[str], y: str,
-                      rounds: int = 40, tol: float = 1e-6, reg: float = 1e-3) -> CountModel:
+                      rounds: int = 40, tol: float = 1e-5, reg: float = 1e-3) -> CountModel:
     """One model; see ``fit_zero_inflated_groups``. Negative values count as 0, rows without one are left out."""
     rows = df.filter(F.col(y).isNotNull()).select(
         F.lit(0).alias("_group"), F.greatest(F.col(y).cast("double"), F.lit(0.0)).alias("_y"),

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.ml.util import MLReadable
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_grid(df: DataFrame, path: str, mode: str = "overwrite",
@@ -49,8 +50,10 @@ def materialise(spark: SparkSession, build: Callable[[], DataFrame], path: str,
 
 
 def write_predictions(df: DataFrame, path: str, keys: Sequence[str] = ("year", "month"),
-                      actual: str = "actual_count") -> None:
-    """Keys, the actual and every ``pred_*`` column present, as CSV with a header."""
+                      actual: str = "actual_count", after: int | None = None, year: str = "year") -> None:
+    """Keys, the actual and every ``pred_*`` column present, as CSV with a header; with ``after`` only rows of
+    later years, those that no model has seen."""
+    df = df if after is None else df.filter(F.col(year) > after)
     preds = [c for c in df.columns if c.startswith("pred_")]
     df.select(*keys, actual, *preds).write.mode("overwrite").option("header", True).csv(path)
 
