@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cellcast.catalog.extras import MASTER, master
 from cellcast.catalog.models import KNOTS
-from cellcast.catalog.polygons import VISITS, _COUNTS, visits_of
+from cellcast.catalog.polygons import OUTCOME, VISITS, _COUNTS, visits_of
 from cellcast.catalog.registry import query
 from cellcast.catalog.scalars import r6
 from cellcast.functions.cleaning import COUNT_CEILING
@@ -21,6 +21,7 @@ from cellcast.plans import events
 from cellcast.plans.features import build_features
 from cellcast.plans.forecast import forecast
 from cellcast.plans.monthly import monthly_features, probability_months
+from cellcast.plans.tracks import prepare_tracks
 from cellcast.shared import checkpointed, scratch
 from cellcast.sources.sinks import load_artifacts, materialise, save_artifacts, write_predictions
 
@@ -65,19 +66,45 @@ DERIVED = {o: (f"(actual_count * {k + 2} + month) % {3 + k % 3}", f"(actual_coun
 _ACTUALS = {"count": "actual_count", "VN": "actual_VN", "PH": "actual_PH", **{o: a for o, (a, _) in DERIVED.items()}}
 
 
+def forecast_months(t):
+    """Months with an actual count and an index for every target."""
+    return t.monthly_x.withColumns({f"actual_{o}": F.expr(a) for o, (a, _) in DERIVED.items()} | {
+        f"index_{o}": F.expr(f"CAST({i} AS DOUBLE)") for o, (_, i) in DERIVED.items()} | {
+        "monthly_index_log": F.log1p("monthly_index")})
+
+
+def held_out_rows(months):
+    """A row per month and target: its actual count, and whether its prediction is admissible."""
+    return months.select("year", "month", F.inline(F.array(*[F.struct(
+        F.lit(o).alias("target"), F.col(f"actual_{o}").cast("long").alias("actual"),
+        F.coalesce(F.col(f"pred_{o}").between(0, COUNT_CEILING * 10), F.lit(False)).alias("admissible"))
+        for o in _ACTUALS])))
+
+
 @query("plan_forecast", views="monthly monthly_x", oracle=" UNION ALL ".join(
     f"SELECT year, month, '{o}' AS target, CAST({a} AS BIGINT) AS actual, TRUE AS admissible FROM monthly_x "
     f"WHERE year > {FOLDS[1]}" for o, a in _ACTUALS.items()))
 def _(t):
-    months = t.monthly_x.withColumns({f"actual_{o}": F.expr(a) for o, (a, _) in DERIVED.items()} | {
-        f"index_{o}": F.expr(f"CAST({i} AS DOUBLE)") for o, (_, i) in DERIVED.items()} | {
-        "monthly_index_log": F.log1p("monthly_index")})
-    rows, names = monthly_features(months)
-    held = forecast(rows, names, start=FOLDS[0], end=FOLDS[1]).held_out()
-    each = F.array(*[F.struct(F.lit(o).alias("target"), F.col(f"actual_{o}").cast("long").alias("actual"),
-                              F.coalesce(F.col(f"pred_{o}").between(0, COUNT_CEILING * 10), F.lit(False)).alias("admissible"))
-                     for o in _ACTUALS])
-    return held.select("year", "month", F.inline(each))
+    rows, names = monthly_features(forecast_months(t))
+    return held_out_rows(forecast(rows, names, start=FOLDS[0], end=FOLDS[1]).held_out())
+
+
+# Raw points as text; every thirteenth has a sentinel for its latitude.
+_KEPT = "kept AS (SELECT * FROM geo_tracks WHERE event_id % 13 <> 0 AND lat BETWEEN 0 AND 30)"
+
+
+@query("plan_tracks", views="geo_tracks edges", oracle=f"""
+WITH {_KEPT}, {OUTCOME.replace("geo_tracks", "kept")}
+SELECT outcome, COUNT(DISTINCT SID) AS events, COUNT(*) AS event_months FROM (
+ SELECT DISTINCT k.SID, YEAR(ts) AS y, MONTH(ts) AS m, outcome FROM kept k JOIN outcomes o ON o.SID = k.SID) d
+GROUP BY outcome""")
+def _(t):
+    raw = t.geo_tracks.withColumns({
+        "lat": F.when(F.col("event_id") % 13 == 0, "-999").otherwise(F.col("lat").cast("string")),
+        "lon": F.col("lon").cast("string")})
+    tracks = prepare_tracks(raw, t.edges, order=("event_id",))
+    return tracks.months.join(tracks.outcomes, "SID").groupBy("outcome").agg(
+        F.countDistinct("SID").alias("events"), F.count("*").alias("event_months"))
 
 
 @query("snk_feature_checkpoint", views="cell_day", oracle="""
