@@ -24,7 +24,7 @@ from cellcast.shared import checkpointed
 # Variance power; leaves of at least so many rows; share of features a tree may use.
 POWER, MIN_ROWS, FEATURE_SHARE, SEED = 1.5, 25, 0.8, 42
 # Trees of up to eight leaves. Rounds times step is 3, the total step of many slower rounds.
-DEPTH, ROUNDS, STEP = 3, 30, 0.1
+DEPTH, ROUNDS, STEP = 3, 20, 0.15
 # Bins of a feature, the one for missing values included; a side of a split is a 64-bit mask of bins.
 BINS = 63
 # Rows are written with their current score after so many trees; until then those trees are walked again.
