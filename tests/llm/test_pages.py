@@ -69,3 +69,48 @@ def test_odd_pages(spark, clashing):
     assert [text[k] for k in (1, 2, 3, 4, 5)] == ["", "", "no markup at all", "", "unclosed"]
     assert text[6] == "stray" and text[7] == "" and text[8] == "deep" and text[None] == "<b> é &bogus;"
     assert max(len(r.text) for r in got if r.page_id == 9) == 999_999
+
+
+def test_names_and_wrappers_lose_no_article():
+    body = "<h1>Title</h1>" + "".join(f"<p>{PARAGRAPH * 2}</p>" for _ in range(4))
+    foot = "<footer><p>Copyright of the site, all rights reserved by its owner.</p></footer>"
+    want = "\n".join(["Title"] + [(PARAGRAPH * 2).strip()] * 4)
+    for html in (f"<html><head><title>T</title><meta name=x>{body}{foot}",
+                 f"<html><head><title>T</title><body><div>{body}</div>{foot}",
+                 f"<div class='content no-sidebar'>{body}</div>{foot}",
+                 f"<div id='page' class='has-header'>{body}{foot}</div>",
+                 f"<main><div class='story share-enabled'>{body}</div></main>{foot}",
+                 f"<form><div>{body}</div><label>Mail</label><select><option>One<option>Two</select></form>{foot}",
+                 f"<div class='page-with-sidebar'><div class='widget'>Some words beside.</div><div>{body}</div></div>",
+                 f"<div class=header><div>{body}</div></div><div>Short junk, unmarked.</div>"):
+        assert pages.main_text(html) == want, html[:60]
+
+
+def test_marked_paragraphs_beside_an_article():
+    body = "".join(f"<p>{PARAGRAPH}</p>" for _ in range(3))
+    long = f"<p>{PARAGRAPH * 8}</p>" * 6
+    for name in ("comments", "comment-replies", "reader-comments"):
+        text = pages.main_text(f"<article>{body}<div class='{name}'>{long}</div></article>")
+        assert text == "\n".join([PARAGRAPH.strip()] * 3), name
+    for html in (f"<aside><p>{PARAGRAPH * 2}</p></aside>", f"<div class='cookie-notice'><p>{PARAGRAPH}</p></div>",
+                 f"<p class='share'>{PARAGRAPH}</p>", f"<div class='site-footer'>{PARAGRAPH}</div>"):
+        text = pages.main_text(f"<body><div>{body * 3}{html}{body}</div></body>")
+        assert text == "\n".join([PARAGRAPH.strip()] * 12), html[:30]
+
+
+def test_smoothing_decides(monkeypatch):
+    long = f"<div>{PARAGRAPH * 4}</div>" * 3
+    html = f"<body><div>{long}<div><b>A</b> <i>short</i> <b>line</b>.</div>{long}</div></body>"
+    assert "A short line." in pages.main_text(html).split("\n")
+    monkeypatch.setattr(pages, "smoothed", lambda ratios: ratios)
+    assert "short" not in pages.main_text(html)
+
+
+def test_weights_of_nested_marks():
+    import numpy as np
+
+    marks = [pages.Mark(), pages.Mark(0, 0.5, False), pages.Mark(1, 0.1, False), pages.Mark(0, 0.1, True)]
+    got = pages.line_weights(marks, np.array([0, 1, 2, 3]), np.array([10.0, 10, 10, 10]))
+    assert np.allclose(got, [1, 0.5, 0.05, 0.1])
+    assert np.allclose(pages.line_weights(marks, np.array([1, 2, 3]), np.array([70.0, 10, 1])), [1, 0.1, 0.1])
+    assert np.allclose(pages.line_weights(marks, np.array([3]), np.array([70.0])), [0.1])
