@@ -20,8 +20,11 @@ SHARD_ROWS = 8192
 LEAF_ROWS = 64
 # Pruning multiplies a lower bound by this: 1 is exact, more prunes more.
 RELAX = 1.15
-# Queries searched at once; they are broadcast, so their number bounds the broadcast.
+# Queries (on average, half of it) and shards that are searched in one group.
 QUERY_BLOCK = 8192
+SHARDS_AT_ONCE = 16
+# Share of two distances that rounding may take off the bound their difference gives.
+ROUNDING = 1e-12
 
 
 def usable(vector: Column) -> Column:
@@ -83,11 +86,10 @@ class Tree:
         return cls(ids[order], points[order], np.array(vantage), np.array(radius), np.array(child),
                    np.array(span))
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, relax: float
-               ) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of the ``k`` nearest of each query, ties to smaller ids, own id left out."""
-        best = np.full((len(queries), k), np.inf)
-        found = np.full((len(queries), k), np.iinfo(np.int64).max)
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, best: np.ndarray, found: np.ndarray,
+               cap: np.ndarray, relax: float) -> None:
+        """Puts what is nearer into ``best`` and ``found``: distances and ids of the nearest of each query so
+        far, ties to smaller ids, own id left out. ``cap`` is a distance no wanted row lies beyond."""
         home: dict[int, list[np.ndarray]] = {}
         near = self._home_leaves(queries)
         for leaf in np.unique(near):
@@ -97,7 +99,7 @@ class Tree:
         stack = [(0, np.arange(len(queries)), np.zeros(len(queries)))]
         while stack:
             node, rows, bound = stack.pop()
-            open_ = bound * relax <= best[rows, -1]
+            open_ = bound * relax <= np.minimum(best[rows, -1], cap[rows])
             rows, bound = rows[open_], bound[open_]
             if not len(rows):
                 continue
@@ -109,9 +111,9 @@ class Tree:
             distance = np.linalg.norm(queries[rows] - self.vantage[node], axis=1)
             gap = distance - self.radius[node]
             inner, outer = self.child[node]
-            stack.append((outer, rows, np.maximum(bound, -gap)))
-            stack.append((inner, rows, np.maximum(bound, gap)))
-        return best, found
+            slack = ROUNDING * (distance + self.radius[node])
+            stack.append((outer, rows, np.maximum(bound, -gap - slack)))
+            stack.append((inner, rows, np.maximum(bound, gap - slack)))
 
     def _home_leaves(self, queries: np.ndarray) -> np.ndarray:
         at = np.zeros(len(queries), dtype=np.int64)
@@ -142,7 +144,8 @@ class Tree:
 
 _PARTS = ("ids", "points", "vantage", "radius", "child", "span")
 _DTYPES = (np.int64, np.float64, np.float64, np.float64, np.int64, np.int64)
-_INDEX = StructType([StructField("dimension", IntegerType()), StructField("rows", LongType()),
+_INDEX = StructType([StructField("dimension", IntegerType()), StructField("shard", LongType()),
+                     StructField("rows", LongType()),
                      *[StructField(p, BinaryType()) for p in _PARTS]])
 
 
@@ -152,7 +155,8 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", vector_column: st
 
     Every usable vector with an id is indexed, nothing is sampled. Shards are drawn by a hash of id
     and vector, so none is hot; their number grows with the rows. Vectors of
-    different lengths go to different shards.
+    different lengths go to different shards. The trees are built once and kept by a checkpoint, for any number
+    of searches.
     """
     usable_rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).select(
         F.col(id_column).cast("long").alias("id"),
@@ -164,13 +168,13 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", vector_column: st
         order = np.argsort(rows["id"].to_numpy(), kind="stable")
         tree = Tree.built(rows["id"].to_numpy()[order], np.stack(rows["v"].to_numpy())[order],
                           seed + key[1])
-        return pd.DataFrame({"dimension": [key[0]], "rows": [len(rows)]} | {
+        return pd.DataFrame({"dimension": [key[0]], "shard": [key[1]], "rows": [len(rows)]} | {
             p: [np.ascontiguousarray(getattr(tree, p), dtype=t).tobytes()]
             for p, t in zip(_PARTS, _DTYPES)})
 
-    return usable_rows.withColumns({
+    return checkpointed(usable_rows.withColumns({
         "dimension": F.size("v"), "shard": F.pmod(F.xxhash64(F.lit(seed), "id", "v"), F.lit(shards))
-    }).groupBy("dimension", "shard").applyInPandas(build, _INDEX)
+    }).groupBy("dimension", "shard").applyInPandas(build, _INDEX))
 
 
 def _loaded(row, dimension: int) -> Tree:
@@ -181,11 +185,38 @@ def _loaded(row, dimension: int) -> Tree:
 
 
 _FOUND = "query_id long, vec_id long, score double"
+_BLOCKS = "dimension int, block long, ids binary, vectors binary, cap binary"
+
+
+def _query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """``id``, ``v`` in one row per length of vector and block, as binary columns, without a bound yet."""
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id")
+        return pd.DataFrame({"dimension": [key[0]], "block": [key[1]],
+                             "ids": [rows["id"].to_numpy(dtype=np.int64).tobytes()],
+                             "vectors": [np.stack(rows["v"].to_numpy()).astype(np.float64).tobytes()],
+                             "cap": [np.full(len(rows), np.inf).tobytes()]})
+
+    placed = queries.withColumns({"dimension": F.size("v"), "block": F.pmod(F.xxhash64("id"), F.lit(blocks))})
+    return placed.groupBy("dimension", "block").applyInPandas(pack, _BLOCKS)
+
+
+def _searched(trees: pd.DataFrame, asked: pd.DataFrame, k: int, relax: float
+              ) -> Iterator[tuple[pd.Series, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each row of ``asked`` with its ids, caps, and the distances and ids found in all of ``trees``."""
+    for _, row in asked.iterrows():
+        ids, cap = np.frombuffer(row["ids"], dtype=np.int64), np.frombuffer(row["cap"])
+        vectors = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
+        best = np.full((len(ids), k), np.inf)
+        found = np.full((len(ids), k), np.iinfo(np.int64).max)
+        for tree in trees.sort_values("shard").to_dict("records"):
+            _loaded(tree, vectors.shape[1]).search(ids, vectors, best, found, cap, relax)
+        yield row, ids, cap, best, found
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int = NEAREST, relax: float = RELAX,
             id_column: str = "vec_id", vector_column: str = "embedding",
-            block: int = QUERY_BLOCK) -> DataFrame:
+            block: int = QUERY_BLOCK, shards_at_once: int = SHARDS_AT_ONCE) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` nearest of each query.
 
     Scores are Euclidean distances in double precision; ties go to the smaller id; rows with the
@@ -193,40 +224,47 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = NEAREST, relax: float
     makes the pruning, and so the search, exact; more passes over subtrees whose lower bound times
     ``relax`` exceeds the distance of the ``k``-th found so far.
 
-    Queries go in blocks of ``block`` by a hash of their id: a block is broadcast (its size is the
-    bound) and searched in every shard; ``k`` rows per query and shard are ranked together. Queries
-    that are not usable or have no id take no part; of several with one id the smallest vector counts.
-    An empty index or query table gives an empty result.
+    Queries go in blocks by a hash of their id. First each block is searched in one shard, which gives every
+    query a distance that its ``k``-th nearest cannot exceed; then blocks meet groups of shards in one
+    shuffle, keyed by block and group, and only rows within that distance are returned. Within a group a query
+    carries what it found from tree to tree. Queries that are not usable or have no id take no part; of several
+    with one id the smallest vector counts. An empty index or query table gives an empty result.
     """
-    spark = index.sparkSession
-    asked = queries.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).groupBy(
+    asked = checkpointed(queries.where(F.col(id_column).isNotNull() & usable(F.col(vector_column))).groupBy(
         F.col(id_column).cast("long").alias("id")).agg(
-        F.min(F.col(vector_column).cast(ArrayType(DoubleType()))).alias("v"))
-    count = asked.count()
-    blocks = max(1, -(-count // max(1, block // 2)))
-    placed = checkpointed(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))))
-    found: DataFrame | None = None
-    for number in range(blocks):
-        rows = placed.where(F.col("block") == number).orderBy("id").toPandas()
-        held = spark.sparkContext.broadcast([
-            (int(n), part["id"].to_numpy(), np.stack(part["v"].to_numpy()))
-            for n, part in rows.groupby(rows["v"].map(len))])
-
-        def search(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.to_dict("records"):
-                    for dimension, ids, vectors in held.value:
-                        if dimension != row["dimension"]:
-                            continue
-                        best, names = _loaded(row, dimension).search(ids, vectors, k, relax)
-                        hit = np.isfinite(best)
-                        yield pd.DataFrame({"query_id": np.repeat(ids, k)[hit.ravel()],
-                                            "vec_id": names[hit], "score": best[hit]})
-
-        part = index.mapInPandas(search, _FOUND)
-        if blocks > 1:
-            part = checkpointed(part)
-        found = part if found is None else found.unionByName(part)
+        F.min(F.col(vector_column).cast(ArrayType(DoubleType()))).alias("v")))
+    blocks = max(1, -(-asked.count() // max(1, block // 2)))
+    shards = 1 + (index.agg(F.max("shard")).first()[0] or 0)
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    # Groups of shards are smaller while there are too few to give every core one.
+    groups = min(shards, max(-(-shards // shards_at_once), -(-cores // blocks)))
+    tasks = max(min(4 * blocks * groups, 200), blocks * groups // 4)
+
+    def bounded(trees: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**row, "cap": np.minimum(cap, best[:, -1]).tobytes()}
+                             for row, _, cap, best, _ in _searched(trees, part, k, relax)],
+                            columns=["dimension", "block", "ids", "vectors", "cap"])
+
+    def search(trees: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+        for _, ids, cap, best, found in _searched(trees, part, k, relax):
+            hit = np.isfinite(best) & (best <= cap[:, None])
+            out.append(pd.DataFrame({"query_id": np.repeat(ids, k)[hit.ravel()], "vec_id": found[hit],
+                                     "score": best[hit]}))
+        return pd.concat(out[1:] or out)
+
+    pilots = index.where(F.col("shard") < blocks).withColumn("block", F.explode(
+        F.sequence("shard", F.lit(blocks - 1).cast("long"), F.lit(shards).cast("long"))))
+    first = ("dimension", "block")
+    limited = pilots.repartition(blocks, *first).groupBy(*first).cogroup(
+        _query_blocks(asked, blocks).repartition(blocks, *first).groupBy(*first)).applyInPandas(bounded, _BLOCKS)
+    key = ("dimension", "block", "part")
+    sent = limited.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    held = index.withColumns({
+        "part": (F.col("shard") % groups).cast("int"),
+        "block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))})
+    found = held.repartition(tasks, *key).groupBy(*key).cogroup(
+        sent.repartition(tasks, *key).groupBy(*key)).applyInPandas(search, _FOUND)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(
         F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

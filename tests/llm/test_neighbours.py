@@ -1,3 +1,5 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -34,11 +36,12 @@ def found(df):
     return out
 
 
-@pytest.mark.parametrize("block", [8192, 6])
-def test_factor_one_is_exact(vectors, block):
+@pytest.mark.parametrize("block, at_once", [(8192, 16), (6, 1), (8, 4)])
+def test_factor_one_is_exact(vectors, block, at_once):
     rows, df = vectors
     index = neighbours.build_index(df, shard_rows=300)
-    got = found(neighbours.nearest(index, df.where("vec_id % 100 = 0"), relax=1.0, block=block))
+    got = found(neighbours.nearest(index, df.where("vec_id % 100 = 0"), relax=1.0, block=block,
+                                   shards_at_once=at_once))
     assert got == brute(rows, {i for i, _ in rows if i % 100 == 0}, 10)
 
 
@@ -53,6 +56,29 @@ def test_relaxed_recall(vectors):
     assert recall[neighbours.RELAX] >= 0.95 and recall[50.0] <= recall[neighbours.RELAX]
 
 
+def test_blocks_build_one_index(vectors, tmp_path):
+    _, df = vectors
+
+    def noted(batches, folder=str(tmp_path)):
+        for batch in batches:
+            open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+            yield batch
+
+    index = neighbours.build_index(df.mapInPandas(noted, df.schema), shard_rows=300)
+    read = len(list(tmp_path.iterdir()))
+    jobs = neighbours.nearest(index, df.where("vec_id % 100 = 0"), block=6)
+    assert jobs.count() == 160 and len(list(tmp_path.iterdir())) == read
+
+
+def test_ties_at_the_bound(spark):
+    # Equal distances in every shard, those of the pilot included: the smallest ids win.
+    rows = [(k, [float(1 + k % 2), 0.0, 0.1]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(neighbours.nearest(neighbours.build_index(df, shard_rows=40), df.where("vec_id % 100 = 0"),
+                                   relax=1.0, block=2))
+    assert got == brute(rows, {0, 100, 200, 300}, 10)
+
+
 def test_odd_vectors(spark, clashing):
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]),
             (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [2.0, 0.0]),
