@@ -73,7 +73,11 @@ class LanguageModel:
     bits: int = BUCKET_BITS
 
     def score(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Most probable language of each text (ties to the first) and its posterior."""
+        """Most probable language of each text (ties to the first) and its posterior.
+
+        Of a text with more n-grams than ``EVIDENCE`` likelihood and prior are both scaled down, which
+        changes no order of languages.
+        """
         width = len(self.languages)
         sums, counts = np.zeros((len(texts), width)), np.zeros(len(texts))
         step = max(1, _GATHER // width)
@@ -88,7 +92,7 @@ class LanguageModel:
                     sums[rows[part[first]]] += np.add.reduceat(
                         self.matrix[bucket[k:k + step]], first, axis=0, dtype=np.float64)
         evidence = np.minimum(counts, EVIDENCE) / np.maximum(counts, 1)
-        logs = sums * evidence[:, None] + self.prior
+        logs = (sums + self.prior) * evidence[:, None]
         logs -= logs.max(axis=1, keepdims=True)
         odds = np.exp(logs)
         best = odds.argmax(axis=1)
@@ -96,6 +100,7 @@ class LanguageModel:
 
 
 _COUNTS = "lang string, bucket int, n long"
+_LANGUAGES = "lang string, counts binary"
 
 
 def fit_languages(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
@@ -103,8 +108,9 @@ def fit_languages(docs: DataFrame, text_column: str = "text", lang_column: str =
     """Counts the hashed n-grams of every row with a text and a language, in one pass.
 
     A task adds up its own counts per language before anything is shuffled, so the shuffle holds at
-    most one number per task, language and bucket. The matrix is ``2**15`` rows of one float per
-    language: at most 131 MB for ``max_languages``; more languages are refused. Without a learned
+    most one number per task, language and bucket. A language's sums are one row of 262 kB; the matrix is
+    ``2**15`` rows of one float per language: at most 131 MB for ``max_languages``, made of 262 MB of sums;
+    more languages are refused. Without a learned
     language every text is ``und``.
     """
     size = 1 << BUCKET_BITS
@@ -128,14 +134,21 @@ def fit_languages(docs: DataFrame, text_column: str = "text", lang_column: str =
 
     learned = docs.select(F.col(lang_column).cast("string").alias("lang"),
                           F.col(text_column).alias("text")).dropna()
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size + 1, dtype=np.int64)
+        total[rows["bucket"]] = rows["n"]
+        return pd.DataFrame({"lang": [key[0]], "counts": [total.tobytes()]})
+
     counted = learned.mapInPandas(count, _COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.limit(max_languages * (size + 1) + 1).toPandas()
-    languages = tuple(sorted(table["lang"].unique()))
-    if len(languages) > max_languages:
-        raise ValueError(f"{len(languages)} languages; the matrix is bounded to {max_languages}")
-    place = {lang: k for k, lang in enumerate(languages)}
+    table = counted.groupBy("lang").applyInPandas(pack, _LANGUAGES).limit(max_languages + 1).toPandas()
+    if len(table) > max_languages:
+        raise ValueError(f"over {max_languages} languages; the matrix is bounded to that")
+    table = table.sort_values("lang")
+    languages = tuple(table["lang"])
+    # The last place of a language's counts, which is -1, holds its documents.
     counts = np.zeros((size + 1, len(languages)))
-    counts[table["bucket"].to_numpy(), table["lang"].map(place).to_numpy(dtype=np.int64)] = table["n"]
+    for k, held in enumerate(table["counts"]):
+        counts[:, k] = np.frombuffer(held, dtype=np.int64)
     prior = np.log(counts[-1] / max(1.0, counts[-1].sum())) if languages else np.zeros(0)
     rows = counts[:-1] + SMOOTHING
     return LanguageModel(languages, prior, np.log(rows / rows.sum(axis=0)).astype(np.float32))
@@ -176,7 +189,11 @@ def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text",
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5,
                     text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known with a posterior of ``least`` or more."""
+    """The rows of ``docs`` whose language is known with a posterior of ``least`` or more.
+
+    Rows with a null text or one without a letter go; all other columns stay as they are, also those with the
+    names of scores, and repeated rows are kept as often as they come.
+    """
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     known = identify(docs, model, text_column, lang, score)
     return known.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)

@@ -1,7 +1,12 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from cellcast.llm import language
-from cellcast.llm.text import remainder_of_id
+from cellcast.llm.text import mixed, remainder_of_id
 
 
 def test_held_out_accuracy(spark, small_dir):
@@ -24,6 +29,49 @@ def test_counts_are_those_of_a_plain_loop(spark, documents):
     assert grams == 5 + 4 + 3
 
 
+def plain_grams(text):
+    """Buckets of the n-grams of one text, one at a time."""
+    points = [c if 97 <= c <= 122 or c >= 0xAA else 32 for c in map(ord, text.lower())]
+    out = []
+    for order in (1, 2, 3):
+        for k in range(len(points) - order + 1):
+            gram = points[k:k + order]
+            if gram[0] == 32 and gram[-1] == 32:
+                continue
+            code = order
+            for point in gram:
+                code = (code * 0x100000001B3 + point) % 2 ** 64
+            out.append(int(mixed(np.array([code], dtype=np.uint64))[0]) >> (64 - language.BUCKET_BITS))
+    return out
+
+
+def test_predictions_are_those_of_plain_naive_bayes(spark, documents):
+    rng = random.Random(3)
+    letters = {"p": "aeinrst ", "q": "aeioknm ", "r": "äuißcht "}
+    rows = [(k, "".join(rng.choice(letters[lang]) for _ in range(rng.choice((5, 30, 400)))), "s", lang)
+            for k, lang in enumerate(rng.choices("pqr", weights=(20, 5, 1), k=60))]
+    learned, asked = rows[:40], rows[40:] + [(99, "aei " * 3, "s", "p"), (100, "aei" * 500, "s", "q")]
+    counts = {lang: Counter() for lang in {r[3] for r in learned}}
+    for _, text, _, lang in learned:
+        counts[lang].update(plain_grams(text))
+    size = 2 ** language.BUCKET_BITS
+    want = {}
+    for k, text, _, _ in asked:
+        grams = plain_grams(text)
+        logs = {}
+        for lang, seen in counts.items():
+            total = sum(seen.values()) + language.SMOOTHING * size
+            logs[lang] = math.log(sum(r[3] == lang for r in learned) / len(learned)) + sum(
+                math.log((seen[g] + language.SMOOTHING) / total) for g in grams)
+        temper = min(1.0, language.EVIDENCE / max(1, len(grams)))
+        odds = {lang: math.exp(temper * (x - max(logs.values()))) for lang, x in logs.items()}
+        want[k] = (max(sorted(logs), key=logs.get), max(odds.values()) / sum(odds.values())) if grams else ("und", 0.0)
+    got = language.identify(documents(asked), language.fit_languages(documents(learned))).collect()
+    for row in got:
+        assert row.lang_pred == want[row.doc_id][0], row
+        assert abs(row.score - want[row.doc_id][1]) < 1e-3
+
+
 def test_odd_documents(spark, odd_documents, clashing):
     model = language.fit_languages(odd_documents)
     rows = language.identify(clashing(odd_documents), model).collect()
