@@ -17,6 +17,8 @@ from cellcast.shared import checkpointed
 # of 15 with three and of 20 with four, wherever these fall (a test goes through all of them).
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 8, 9), (0, 1, 6, 7, 9, 10), (0, 1, 2, 4, 5, 6))
 SPAN = 1 + max(m[-1] for m in MASKS)
+# Tokens from which a shorter item is told by every second of its tokens; of fewer, masks would read common pairs.
+SPACED = 8
 SIMILARITY = 0.8
 MIN_TOKENS = 13
 # Hits are worked on by windows of so many tokens, with so many more on either side.
@@ -38,8 +40,10 @@ def _seeds(tokens: np.ndarray, offsets: np.ndarray, mask: Sequence[int]
     return at, mixed(code[at])
 
 
-def _short_mask(n: int) -> tuple[int, ...]:
-    return tuple(range(n))
+def _short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks of an item shorter than ``SPAN``: every second token of one with at least ``SPACED`` tokens, from
+    the first and from the second one, so that one substitution leaves a mask whole; else all tokens."""
+    return [tuple(range(n))] if n < SPACED else [tuple(range(k, n, 2)) for k in (0, 1)]
 
 
 _ITEM = "item long, tokens array<long>"
@@ -62,7 +66,7 @@ def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for item, row in zip(batch["item"], batch["tokens"]):
             tokens = np.asarray(row, dtype=np.int64).view(np.uint64)
             ends = np.array([0, len(tokens)])
-            for mask in MASKS if len(tokens) >= SPAN else (_short_mask(len(tokens)),):
+            for mask in MASKS if len(tokens) >= SPAN else _short_masks(len(tokens)):
                 at, hashes = _seeds(tokens, ends, mask)
                 yield pd.DataFrame({"item": item, "hash": hashes.view(np.int64),
                                     "item_at": at.astype(np.int32)})
@@ -165,6 +169,9 @@ def _verify(batches: Iterator[pd.DataFrame], similarity: float, min_tokens: int
                 a, b = max(0, shift), min(len(tokens), shift + len(wanted))
                 same = tokens[a:b] == wanted[a - shift:b - shift]
                 i, j = longest_overlap(same, similarity)
+                if len(same) == len(wanted) <= min_tokens and same.mean() >= similarity:
+                    # The whole of a short item counts, changed first and last tokens too.
+                    i, j = 0, len(wanted)
                 if j - i >= max(1, min(min_tokens, len(wanted))):
                     best = max(best, (int(same[i:j].sum()), j - i, -(start + a + i)))
             if best[0]:
@@ -183,7 +190,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     position of every text is hashed under each mask; hashes of documents and items meet in an
     equi-join; around each hit the aligned tokens are compared, and the longest stretch with at least
     ``similarity`` agreeing counts if it has ``min_tokens`` tokens, or the whole of a shorter item.
-    Items of fewer than 11 tokens must occur as they are. Texts are worked on by windows of 512 tokens
+    The first and last token of a stretch agree, but for whole items of at most ``min_tokens``. Items of 8 to 10
+    tokens are found with one substitution, shorter ones must occur as they are. Texts are worked on by windows of 512 tokens
     and 64 more on either side: every window is searched, and a longer overlap is reported by its best
     window.
 
@@ -201,7 +209,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     seeds = checkpointed(tokens.mapInPandas(_item_seeds, _SEED))
     short = [r[0] for r in tokens.select(F.size("tokens")).where(F.size("tokens") < SPAN)
              .distinct().collect()]
-    masks = [*MASKS, *map(_short_mask, sorted(short))]
+    masks = [*MASKS, *sorted({mask for n in short for mask in _short_masks(n)})]
     sieve = spark.sparkContext.broadcast(_sieve(seeds))
     key = row_key(id_column, text_column).alias("key")
     region = StructType([StructField("key", LongType()), StructField("start", IntegerType()),
@@ -230,7 +238,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                       text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found. Options as for ``overlaps``."""
+    """The rows of ``docs`` in which no benchmark item is found. Options as for ``overlaps``.
+
+    Rows with null or empty texts stay; of repeated rows all stay or all go; other columns are left as they are.
+    """
     key = free_name(docs, "doc_key")
     found = overlaps(docs, benchmark, id_column=id_column, text_column=text_column, **options)
     bad = checkpointed(found.select(F.col("key").alias(key)).distinct())

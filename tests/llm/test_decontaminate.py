@@ -61,6 +61,28 @@ def test_substituted_passages_are_found_and_clean_documents_kept(planted):
     assert kept == set(range(120)) - set(want)
 
 
+@pytest.mark.parametrize("tokens,changed", [(8, 1), (9, 1), (10, 1), (12, 2), (13, 2)])
+def test_short_items_with_any_token_changed(spark, documents, tokens, changed):
+    rng = random.Random(tokens)
+    item = words(rng, tokens)
+    rows, clean = [], []
+    for at in range(tokens):
+        own, more = list(item), list(item)
+        own[at] = "changed"
+        rows.append((at, " ".join(words(rng, 20) + own + words(rng, 20))))
+        for k in range(changed + 1):
+            more[(at + k * 3) % tokens] = f"changed{k}"
+        clean.append((1000 + at, " ".join(words(rng, 20) + more[:tokens] + words(rng, 20))))
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontaminate.overlaps(documents(rows + clean), bench).collect()
+    found = {r.doc_id: r for r in found}
+    assert set(range(tokens)) <= set(found)
+    assert all(r.length >= tokens - 1 and r.matches == tokens - 1 for k, r in found.items() if k < tokens)
+    assert all(r.similarity >= 0.8 for r in found.values())
+    if (tokens - changed - 1) / tokens < 0.8:
+        assert set(found) == set(range(tokens))
+
+
 def test_odd_documents(spark, odd_documents, clashing, documents):
     bench = spark.createDataFrame([
         (1, None), (None, "a text without an id but with words"), (3, ""), (4, "one two"), (4, "one two"),
