@@ -1,4 +1,7 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands, candidates compared exactly."""
+"""Near copies by the Jaccard similarity of word shingles: MinHash bands, candidates compared exactly.
+
+Of each group of near copies, by that similarity or by SimHash fingerprints, one stays.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from cellcast.llm.components import components
-from cellcast.llm.simhash import first_of_components, with_components
+from cellcast.llm.simhash import first_of_components, linked_rows, with_components
 from cellcast.llm.text import groups, hashed_words, mixed, row_key
 from cellcast.shared import checkpointed
 
@@ -161,6 +164,12 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     that shares buckets with most others: at most one comparison a member and band. What has several roots then is compared whole in a bucket of up to 33, and in a larger
     one over the shingles that are rare there (``_rare_pairs``), without loss. All comparisons are of whole sets.
     """
+    return with_components(*_linked_sets(docs, id_column, text_column, width, threshold), "sign", id_column)
+
+
+def _linked_sets(docs: DataFrame, id_column: str, text_column: str, width: int,
+                 threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Id, ``row`` and ``sign`` of every row, and the links ``a``, ``b`` between sets; see ``near_copies``."""
     rows = checkpointed(docs.select(
         F.col(id_column), row_key(id_column, text_column).alias("row"),
         _summaries(width)(F.col(text_column)).alias("_s")).select(
@@ -192,11 +201,30 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         "bucket", "sign").mapInPandas(_crossing(threshold), "a long, b long")
     many = _rare_pairs(open_.where(F.col("size") > REACH + 1).select("sign", "root").distinct(), sets, threshold)
     links = links.unionByName(_links(few.unionByName(many).distinct(), sets, threshold))
-    return with_components(rows.drop("n", "bands"), links, "sign", id_column)
+    return rows.drop("n", "bands"), links
+
+
+def _links_of_fingerprints(rows: DataFrame, printed: DataFrame, fp_links: DataFrame) -> DataFrame:
+    """Links between the sets of ``rows`` that have rows in one component of fingerprints: all to its smallest.
+
+    Equal sets may have several fingerprints (these count repeats), so a set may link components.
+    """
+    held = rows.select("row", "sign").join(printed.select("row", "fp"), "row").select("sign", "fp").distinct()
+    rooted = checkpointed(held.join(components(fp_links), F.col("fp") == F.col("node"), "left").select(
+        "sign", F.coalesce("root", "fp").alias("root")).distinct())
+    least = rooted.groupBy("root").agg(F.min("sign").alias("a"))
+    return rooted.join(least, "root").where("a <> sign").select("a", F.col("sign").alias("b")).distinct()
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                      width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each component of ``near_copies``, whole, chosen as by ``simhash.drop_near_duplicates``."""
-    found = near_copies(docs, id_column, text_column, width, threshold)
+    """One row of each component, whole, chosen as by ``simhash.drop_near_duplicates``.
+
+    Rows are linked as by ``simhash.near_duplicates`` (fingerprints, through the anchors) and as by
+    ``near_copies`` (shingles); components run over the links of both.
+    """
+    printed, fp_links = linked_rows(docs, id_column, text_column)
+    rows, links = _linked_sets(docs, id_column, text_column, width, threshold)
+    links = links.unionByName(_links_of_fingerprints(rows, printed, fp_links))
+    found = with_components(rows, links, "sign", id_column)
     return first_of_components(docs, found, "sign", id_column, text_column)

@@ -133,11 +133,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     component's smallest id unless all its ids are null (then the component is null). Repeated rows
     stay repeated; other columns are not read.
     """
+    return with_components(*linked_rows(docs, id_column, text_column), "fp", id_column)
+
+
+def linked_rows(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+                ) -> tuple[DataFrame, DataFrame]:
+    """Id, ``row`` and ``fp`` of every row, and the links ``a``, ``b`` between fingerprints."""
     rows = checkpointed(docs.select(
         F.col(id_column), row_key(id_column, text_column).alias("row"),
         _fingerprints(F.col(text_column)).alias("fp")))
-    links = checkpointed(link_fingerprints(rows.select("fp").distinct()))
-    return with_components(rows, links, "fp", id_column)
+    return rows, checkpointed(link_fingerprints(rows.select("fp").distinct()))
 
 
 def with_components(rows: DataFrame, links: DataFrame, value: str, id_column: str = "doc_id") -> DataFrame:

@@ -1,8 +1,8 @@
 """The corpus pipeline: each stage works on what the one before it kept.
 
 ``STAGES`` are functions of (spark, docs, sf_dir); each result is written as Parquet in the shared
-folder and read again as the next one's ``docs``. The parameters are those of the operators' queries,
-except that near copies are found by the Jaccard similarity of five-word shingles, not by ``op6_simhash``.
+folder and read again as the next one's ``docs``. The parameters are those of the operators' queries;
+near copies are those of ``op6_simhash`` and, beyond them, those of the Jaccard similarity of five-word shingles.
 No stage can be said in SQL as a whole (trained model, hashes of another family, random rounding), so
 ``ORACLE_SQL`` is None; tests hold the stages against brute-force versions.
 """
@@ -23,7 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word Jaccard of at least 0.8."""
+    """One document of each group of near copies: SimHash fingerprints at most 2 bits apart, linked through
+    their anchors, or five-word Jaccard of at least 0.8."""
     return shingles.drop_near_copies(docs)
 
 

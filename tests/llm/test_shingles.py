@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cellcast.llm import shingles
+from cellcast.llm import shingles, simhash
 
 
 def jaccard(x, y):
@@ -57,6 +57,28 @@ def test_crowded_buckets_lose_no_link(spark, documents):
     assert [found[k] for k in range(500)] == list(range(500))
 
 
+def test_stage_drops_what_either_links(spark, documents):
+    """A passage repeated often fixes the fingerprint, whatever few words of their own the texts have."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(21))
+    own = [[f"o{rng.randrange(10**9)}" for _ in range(40)] for _ in range(2)]
+    first, second = (" ".join([passage] * 200 + words) for words in own)
+    words = second.split()
+    third = " ".join(words[:-1])
+    again = [f"w{k}" for k in range(150)]
+    texts = [third, first, second, " ".join(again), " ".join([*again, "x"]), "a text of its own with six words"]
+    apart = [(simhash.fingerprint(a) ^ simhash.fingerprint(b)) % 2**64 for a, b in ((first, second), (second, third))]
+    assert apart[0].bit_count() <= 2 and jaccard(first, second) < 0.8 and jaccard(first, third) < 0.8
+    assert jaccard(second, third) >= 0.8 and jaccard(texts[3], texts[4]) >= 0.8
+    docs = documents(list(enumerate(texts)))
+    op6 = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert op6[1] == op6[2]
+    copies = {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()}
+    assert copies[1] != copies[2] == copies[0]
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3, 5]
+
+
 def test_odd_documents(spark, odd_documents, clashing):
     rows = shingles.near_copies(clashing(odd_documents)).collect()
     assert len(rows) == odd_documents.count()
