@@ -20,6 +20,8 @@ from cellcast.shared import checkpointed, value_of
 
 # Settings of the event classifier.
 MAX_DEPTH, STEP, ROUNDS, SEED = 8, 0.1, 500, 42
+# Rows of one training partition (a row is some 150 to 300 bytes in memory), and the least worth a task.
+TRAIN_ROWS, TASK_ROWS = 250_000, 10_000
 # Fixed value: variance power of the count regression.
 TWEEDIE_POWER = 1.5
 # Penalty grid of the seasonal count regressions, 30 points from 1e-4 to 1e4.
@@ -39,21 +41,32 @@ def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> D
     return df.withColumn(out, F.when(F.col(label) == 1, heavy).otherwise(F.lit(1.0)))
 
 
+def in_parts(df: DataFrame, most: int = TRAIN_ROWS, least: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt evenly over partitions of at most about ``most`` rows, however many rows there are.
+
+    Fewer rows than fill the cores go in parts of about ``least``.
+    """
+    rows = df.count()
+    spread = min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / least))
+    return df.repartition(max(1, spread, math.ceil(rows / most)))
+
+
 def fit_classifier(train: DataFrame, val: DataFrame, features: Sequence[str],
                    means: DataFrame, label: str = "label", rounds: int = ROUNDS,
                    depth: int = MAX_DEPTH, step: float = STEP,
                    seed: int = SEED) -> GBTClassificationModel:
     """Boosted trees on class-weighted rows, stopped when the validation loss stops improving.
 
-    Training stays on the executors; nothing is collected. The rows are rebalanced first: a sample of
+    Training stays on the executors; nothing is collected. The rows are dealt evenly first: a sample of
     a large table sits thinly in as many partitions as the table had, and boosting visits every one
-    of them many times.
+    of them many times. Boosting keeps rows as objects, several times their shuffled size, so the number of
+    parts follows the rows and not the bytes of a shuffle.
     """
     cols = [*features, label, "weight"]
     weighted = class_weights(train, label).select(*cols).withColumn("_val", F.lit(False))
     held = val.withColumn("weight", F.lit(1.0)).select(*cols).withColumn("_val", F.lit(True))
-    rows = impute_with(weighted.unionByName(held), means, list(features)).hint("rebalance")
-    data = assemble(rows, features).select(
+    rows = impute_with(weighted.unionByName(held), means, list(features))
+    data = assemble(in_parts(rows), features).select(
         "features", F.col(label).cast("double").alias("label"), "weight", "_val")
     return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
                          validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth,

@@ -280,3 +280,29 @@ def test_seasonal_fits_equal_one_by_one(spark):
 def test_penalty_grid():
     grid = models.penalty_grid()
     assert len(grid) == 30 and grid[0] == pytest.approx(1e-4) and grid[-1] == pytest.approx(1e4)
+
+
+def test_training_parts_follow_the_rows(spark):
+    """Rows that compress to nothing used to land in as few parts as their shuffled bytes filled."""
+    rows = spark.range(40_000).select(F.lit(1.0).alias("x"), (F.col("id") % 7).alias("k"))
+    parts = models.in_parts(rows, most=2_000)
+    sizes = [r["n"] for r in parts.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) <= 1.1 * 2_000 and sum(sizes) == 40_000
+    assert models.in_parts(rows.limit(0)).count() == 0 and models.in_parts(rows.limit(5)).count() == 5
+
+
+def test_the_classifier_trains_on_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(models.in_parts, "__defaults__", (500, 100))
+    seen = []
+
+    class Held(models.GBTClassifier):
+        def _fit(self, data):
+            seen.extend(r["n"] for r in data.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+            return super()._fit(data)
+
+    monkeypatch.setattr(models, "GBTClassifier", Held)
+    rows = spark.range(0, 6_000, 1, 2).select(
+        (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 > 6).cast("int").alias("label"))
+    train, val = rows.where("x < 9"), rows.where("x >= 5")
+    model = models.fit_classifier(train, val, ["x"], feature_means(train, ["x"]), rounds=2, depth=2)
+    assert model.numFeatures == 1 and sum(seen) == 5_400 + 3_000 and max(seen) <= 600
