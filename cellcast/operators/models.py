@@ -66,11 +66,16 @@ def fit_classifier(train: DataFrame, val: DataFrame, features: Sequence[str],
     weighted = class_weights(train, label).select(*cols).withColumn("_val", F.lit(False))
     held = val.withColumn("weight", F.lit(1.0)).select(*cols).withColumn("_val", F.lit(True))
     rows = impute_with(weighted.unionByName(held), means, list(features))
-    data = assemble(in_parts(rows), features).select(
+    # Boosting reads its input for training and validation apart, several times each.
+    dealt = in_parts(rows).persist()
+    data = assemble(dealt, features).select(
         "features", F.col(label).cast("double").alias("label"), "weight", "_val")
-    return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                         validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth,
-                         stepSize=step, seed=seed).fit(data)
+    try:
+        return GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight",
+                             validationIndicatorCol="_val", maxIter=rounds, maxDepth=depth,
+                             stepSize=step, seed=seed).fit(data)
+    finally:
+        dealt.unpersist()
 
 
 def raw_scores(df: DataFrame, model: GBTClassificationModel, features: Sequence[str],

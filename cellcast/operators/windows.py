@@ -17,7 +17,8 @@ from pyspark.sql.window import WindowSpec
 from cellcast.shared import checkpointed
 
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
-_MAX_PARTS = 4
+# A frame is put together from at most so many shorter ones; frames made for that have at least so many rows.
+_MAX_PARTS, _LEAST_PART = 4, 5
 
 # Trailing window lengths in days, the measures averaged over each, output names.
 TRAILING = {
@@ -106,14 +107,20 @@ def _row_means(df: DataFrame, spec: Mapping[int, Mapping[str, str]],
     """``df`` with the trailing means of ``spec`` over a row window.
 
     A frame of n rows costs n steps per row, so long frames are put together from the sums of
-    shorter ones where the lengths divide (180 = 90 + 90, 90 = 30 + 30 + 30). Sums are only ever
-    added, never subtracted, so nothing is lost to cancellation.
+    shorter ones where the lengths divide (180 = 90 + 90, 90 = 30 + 30 + 30); where no shorter one is
+    asked for, one is made (30 = 10 + 10 + 10). Sums are only ever added, never subtracted, so nothing
+    is lost to cancellation.
     """
     parts: dict[tuple[int, str], int] = {}
     for n in sorted(spec):
         for src in spec[n]:
             shorter = [m for m, s in parts if s == src and n % m == 0 and n // m <= _MAX_PARTS]
             parts[n, src] = max(shorter, default=n)
+    for n, src in [key for key, m in parts.items() if key[0] == m]:
+        made = [n // k for k in range(2, _MAX_PARTS + 1) if n % k == 0 and n // k >= _LEAST_PART]
+        if made:
+            parts[n, src] = min(made)
+            parts[min(made), src] = min(made)
     direct = [(n, src) for (n, src), m in parts.items() if m == n]
     columns = df.columns
     df = df.withColumns({

@@ -46,12 +46,12 @@ def fit_events(features: DataFrame, names: Sequence[str] = ALL_FEATURES,
                rounds: int = models.ROUNDS, depth: int = models.MAX_DEPTH) -> EventModel:
     """Classifier on an undersampled base, calibrated on the validation years.
 
-    Only the sample is trained on: it is a few percent of the feature table, checkpointed once
-    because boosting reads it many times. ``features`` should be materialised.
+    Only the sample is trained on: it is a few percent of the feature table where events are rare,
+    checkpointed once because every step reads it; ``fit_classifier`` deals its rows evenly.
+    ``features`` should be materialised.
     """
     keep = list(dict.fromkeys([*key, "year", *names, label]))
-    base = checkpointed(
-        undersample(features, list(key), label, ratio).select(*keep).hint("rebalance"))
+    base = checkpointed(undersample(features, list(key), label, ratio).select(*keep))
     train, val, test = temporal_split(base, bounds)
     means = checkpointed(feature_means(train, names))
     classifier = models.fit_classifier(train, val, names, means, label, rounds, depth)

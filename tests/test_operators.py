@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,6 +224,19 @@ def test_trailing_plan_has_one_shuffle_and_one_sort(spark):
     assert tree.count("hashpartitioning") <= 1 and count(out, "Sort") == 1
 
 
+def test_long_frames_are_put_together_of_short_ones(spark):
+    """A frame of 30 rows, which no asked length divides, used to take 30 steps a row."""
+    rng = random.Random(6)
+    rows = [(1, d, 0, rng.choice([None, round(rng.uniform(-5, 5), 2)])) for d in range(300)]
+    df = spark.createDataFrame(rows, "k int, d int, s int, v double")
+    out = windows.trailing_means(df, ["k"], ["d"], {n: {"v": f"m{n}"} for n in windows.TRAILING})
+    assert max(int(n) for n in re.findall(r"RowFrame, -(\d+), currentrow", full_plan(out))) < 10
+    got = out.collect()
+    for n in windows.TRAILING:
+        want = brute_rows(rows, n)
+        assert all(r[f"m{n}"] == (None if want[1, r.d, 0] is None else pytest.approx(want[1, r.d, 0])) for r in got)
+
+
 def brute_rows(rows, n):
     out = {}
     for k in {r[0] for r in rows}:
